@@ -6,10 +6,26 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination, contamination_report
+from .licenses import license_report, license_scan
+from .mixing import mix
+from .secrets import secret_scan
 from .simhash import near_duplicates
+from .substrings import remove_repeated
 from .topk import exact_top_k
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_source_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark, sf_dir):
+    return license_report(license_scan(table(spark, sf_dir, "documents")))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return contamination_report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -18,9 +34,25 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    kept = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", kept)
+
+
 def op10_exact_top_k(spark, sf_dir):
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op7_simhash_near_dedup, op10_exact_top_k)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_source_mixing,
+        op4_license_scan,
+        op6_benchmark_decontamination,
+        op7_simhash_near_dedup,
+        op9_substring_dedup,
+        op10_exact_top_k,
+    )
+}
 SQL: dict[str, str] = {}

@@ -76,5 +76,28 @@ def substrings(docs, n=35):
             for at, p in places:
                 gone[at].update(range(p, p + n))
     return sorted(
-        (i, len(w), len(g), sha(" ".join(x for p, x in enumerate(w) if p not in g))) for (i, w), g in zip(split, gone)
+        ((i, len(w), len(g), sha(" ".join(x for p, x in enumerate(w) if p not in g))) for (i, w), g in zip(split, gone)),
+        key=str,
     )
+
+
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_secrets(text):
+    """(start, kind number, end) of the base rule."""
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def license_base(text):
+    words = WORD.findall(lower(text))
+    places = [(i, label) for p, label in PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
