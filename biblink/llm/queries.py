@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination, contamination_report
+from .langid import language_id
 from .licenses import license_report, license_scan
 from .mixing import mix
+from .quality import quality
 from .secrets import secret_scan
 from .simhash import near_duplicates
 from .substrings import remove_repeated
 from .topk import exact_top_k
+from .toxicity import toxicity
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -22,10 +25,18 @@ def op2_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark, sf_dir):
     return license_report(license_scan(table(spark, sf_dir, "documents")))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return contamination_report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -34,6 +45,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     kept = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     return remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", kept)
@@ -48,9 +63,12 @@ QUERIES = {
     for f in (
         op1_secret_scan,
         op2_source_mixing,
+        op3_toxicity,
         op4_license_scan,
+        op5_quality_classifier,
         op6_benchmark_decontamination,
         op7_simhash_near_dedup,
+        op8_language_id,
         op9_substring_dedup,
         op10_exact_top_k,
     )

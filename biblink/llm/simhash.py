@@ -134,3 +134,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     by_print = cut(rooted.join(smallest, "root").select("fp", "component_id"), "by_print")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
+    """The rows whose id is its component's smallest, with the columns they came with;
+    of rows that repeat such an id, one stays."""
+    found = near_duplicates(docs, id_col, text_col, dense)
+    stays = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct(), "stays")
+    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([id_col])
