@@ -1 +1,11 @@
-"""Bibliographic record linkage and citation analytics on Spark."""
+"""Bibliographic record linkage and citation analytics on Spark.
+
+Functions that run in Python workers are pickled by value, so executors need
+no copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
