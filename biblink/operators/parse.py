@@ -68,11 +68,11 @@ def expand_page(first: Column, last: Column) -> Column:
 
 def segments(s: Column) -> Column:
     """Sentence-like pieces: cut after a stop that white space follows."""
-    return F.filter(F.transform(F.split(s, r"(?<=[.?!])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, r"(?<=[.?!])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _chunks(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda c: c != "")
 
 
 def looks_like_authors(segment: Column) -> Column:
