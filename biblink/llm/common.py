@@ -69,6 +69,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """As :func:`cut`, in hash buckets of ``column``: joins on it move only the other side."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    number = next(_cut_number)
+    path = f"{shared_dir(spark)}/cuts-{sc.applicationId}/{number}-{name}"
+    known_as = "".join(c if c.isalnum() else "_" for c in f"cut_{sc.applicationId}_{number}_{name}")
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(known_as)
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.table(known_as)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

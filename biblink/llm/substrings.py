@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, cut, small_batches
+from .common import as_bytes, cut, cut_bucketed, small_batches
 
 WINDOW_WORDS = 35
 CHUNK_BYTES = 4 << 20
@@ -137,7 +137,8 @@ def _unpack(sizes: bytes, blob: bytes) -> list[bytes | None]:
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """``(chunk, ids, sizes, blob)``: rows of one partition in order, about ``chunk_bytes`` of text each."""
+    """``(chunk, ids, sizes, blob)``: rows of one partition in order, about ``chunk_bytes`` of
+    text each, in buckets of ``chunk``: texts are written once and not moved again."""
     source = docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("text"))
     kind = to_arrow_type(source.schema["doc_id"].dataType)
 
@@ -160,7 +161,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Da
 
     id_type = source.schema["doc_id"].dataType.simpleString()
     made = source.mapInArrow(gather, f"ids array<{id_type}>, sizes binary, blob binary")
-    return cut(made.select(F.monotonically_increasing_id().alias("chunk"), "ids", "sizes", "blob"), "chunks")
+    numbered = made.select(F.monotonically_increasing_id().alias("chunk"), "ids", "sizes", "blob")
+    return cut_bucketed(numbered, "chunk", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunks")
 
 
 def _replayed(row: dict, window: int, lengths: list[int], ranges: int, known: int) -> Chunk:
@@ -275,7 +277,7 @@ def remove_repeated(
         if answers is None:
             return chunks.withColumn("answers", F.lit(None).cast("array<struct<level:int,part:int,bits:binary>>"))
         mine = answers.groupBy("chunk").agg(F.collect_list(F.struct("level", "part", "bits")).alias("answers"))
-        return chunks.join(mine, "chunk", "left").select("chunk", "ids", "sizes", "blob", "answers")
+        return chunks.join(mine.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "answers")
 
     for level in range(len(lengths)):
         sent = with_answers().select("chunk", "sizes", "blob", "answers").mapInArrow(_sender(window, lengths, ranges, level), "part int, chunk long, hashes binary")
