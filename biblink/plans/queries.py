@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cuts import materialize
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import citations as cite
@@ -23,6 +24,11 @@ def _parsed(spark, sf_dir):
     return parse.parse_references(fx.refs(spark, sf_dir))
 
 
+def _stored(spark, sf_dir):
+    """Parsed references, written once: joins and filters don't reach into the parser."""
+    return materialize(_parsed(spark, sf_dir), "parsed")
+
+
 def _cands(spark, sf_dir):
     return fx.candidates(spark, sf_dir).withColumn("cid", F.col("paper_id") * 10 + F.col("arrival"))
 
@@ -174,15 +180,15 @@ def dedupe_candidates(spark, sf_dir):
 
 
 def identifier_join(spark, sf_dir):
-    return resolve.identifier_hits(_parsed(spark, sf_dir), _cands(spark, sf_dir), ["n"], "cid")
+    return resolve.identifier_hits(_stored(spark, sf_dir), _cands(spark, sf_dir), ["n"], "cid")
 
 
 def locator_match(spark, sf_dir):
-    return resolve.locator_blocks(_parsed(spark, sf_dir), _cands(spark, sf_dir), ["n"], "cid")
+    return resolve.locator_blocks(_stored(spark, sf_dir), _cands(spark, sf_dir), ["n"], "cid")
 
 
 def title_match(spark, sf_dir):
-    return resolve.title_blocks(_parsed(spark, sf_dir), _cands(spark, sf_dir), ["n"], "cid")
+    return resolve.title_blocks(_stored(spark, sf_dir), _cands(spark, sf_dir), ["n"], "cid")
 
 
 def token_block_topk(spark, sf_dir):
@@ -192,16 +198,17 @@ def token_block_topk(spark, sf_dir):
 
 
 def fallback_pass(spark, sf_dir):
-    refs, cands = _parsed(spark, sf_dir), _cands(spark, sf_dir)
+    refs, cands = _stored(spark, sf_dir), _cands(spark, sf_dir)
     pairs = resolve.fallback(resolve.locator_blocks(refs, cands, ["n"], "cid"), resolve.title_blocks(refs, cands, ["n"], "cid"), refs, ["n"])
     return pairs.groupBy("n").agg(F.count("*").alias("candidates"), F.min("cid").alias("first_cid"))
 
 
 def _title_pairs(spark, sf_dir):
     """Each reference with the merged candidates that bear its title."""
-    refs, cands = _parsed(spark, sf_dir), _cands(spark, sf_dir)
+    refs, cands = _stored(spark, sf_dir), _cands(spark, sf_dir)
     rows = resolve.title_blocks(refs, cands, ["n"], "cid").join(cands, "cid")
-    return match.score_pairs(resolve.as_pairs(refs, match.dedupe_candidates(rows, ["n"]), ["n"]), ["n"])
+    merged = materialize(match.dedupe_candidates(rows, ["n"]), "merged")
+    return materialize(match.score_pairs(resolve.as_pairs(refs, merged, ["n"]), ["n"]), "scored")
 
 
 def signals(spark, sf_dir):
@@ -269,7 +276,7 @@ def creators(spark, sf_dir):
 
 
 def _items_of_refs(spark, sf_dir):
-    refs = _parsed(spark, sf_dir)
+    refs = _stored(spark, sf_dir)
     left = refs.select("n", *[F.col(f).alias(f"r_{f}") for f in parse.FIELDS])
     cands = _cands(spark, sf_dir).where("arrival = 1").select(F.col("doi").alias("r_doi"), *[F.col(f).alias(f"c_{f}") for f in resolve.CANDIDATE_FIELDS], *[F.lit(None).cast("string").alias(f"c_{f}") for f in ("publisher", "place", "book_title")])
     return left.join(cands, "r_doi").select("n", *[v.alias(k) for k, v in lib.item_columns().items()])
@@ -296,7 +303,7 @@ def review_apply(spark, sf_dir):
 
 
 def report_rows(spark, sf_dir):
-    refs = _parsed(spark, sf_dir)
+    refs = _stored(spark, sf_dir)
     verdict = refs.select("n", F.lit("REVIEW").alias("status"), F.lit("none").alias("tier"), F.lit(0.125).alias("confidence"), F.lit("r").alias("reason"), F.array(F.lit("x"), F.lit("y")).alias("notes"))
     return lib.report_rows(verdict, refs, ["n"])
 
