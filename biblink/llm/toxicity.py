@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, id_bucket, lower_words, small_batches
+from .common import as_bytes, cut, id_bucket, lower_words, small_batches
 from .linear import Rows, fit, sigmoid
 
 #: Most labelled rows that training reads; the first by hash of their id.
@@ -28,6 +28,8 @@ FAIRNESS = 4.0
 #: A toxic row counts as so many clean ones: toxic texts are rare, and one word can make them so.
 POSITIVE_WEIGHT = 4.0
 MIN_ROWS, MIN_Z, L2 = 4, 3.0, 1e-5
+#: Most features of the model: those that tell the classes apart best.
+MAX_FEATURES = 50_000
 
 # Identity terms by kind; a term is swapped within its kind.
 IDENTITY_TERMS = [
@@ -77,21 +79,13 @@ class Model:
         return float(sigmoid(self.intercept + sum(get(f, 0.0) for f in features(lower_words(text)).tolist())))
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: float = FAIRNESS) -> tuple[dict[int, float], float]:
-    """``examples``: features, features with identity terms swapped or None, label."""
+def train(examples: list[tuple[np.ndarray, np.ndarray | None, int]], chosen: np.ndarray, fairness: float = FAIRNESS) -> tuple[dict[int, float], float]:
+    """``examples``: features, features with identity terms swapped or None, label;
+    ``chosen``: the features to weigh, sorted."""
     y = np.array([e[2] for e in examples], float)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return {}, float(np.log(rate / (1 - rate)))
-    everything = np.concatenate([e[0] for e in examples])
-    of_row = np.repeat(np.arange(len(examples)), [len(e[0]) for e in examples])
-    values, which = np.unique(everything, return_inverse=True)
-    n1, n = y.sum(), len(y)
-    have, toxic = np.bincount(which), np.bincount(which, y[of_row])
-    share = have / n
-    z = (toxic - n1 * share) / np.sqrt(n1 * (1 - n1 / n) * np.maximum(share * (1 - share), 1e-12) + 1e-12)
-    swaps = np.unique(np.concatenate([np.empty(0, np.uint64), *(e[1] for e in examples if e[1] is not None)]))
-    chosen = values[((have >= MIN_ROWS) & (np.abs(z) >= MIN_Z)) | np.isin(values, swaps) & (have >= MIN_ROWS) & (np.abs(z) >= 1)]
 
     def numbered(hashes):
         if not len(chosen):
@@ -101,27 +95,53 @@ def train(examples: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: f
 
     originals = np.array([i for i, e in enumerate(examples) if e[1] is not None], np.int64)
     swapped = Rows([numbered(examples[i][1]) for i in originals]) if len(originals) else None
-    w, b = fit(Rows([numbered(e[0]) for e in examples]), y, len(chosen), swapped, originals, fairness, L2, weight=np.where(y > 0, POSITIVE_WEIGHT, 1.0))
+    weight = np.where(y > 0, POSITIVE_WEIGHT, 1.0)
+    w, b = fit(Rows([numbered(e[0]) for e in examples]), y, len(chosen), swapped, originals, fairness, L2, weight=weight)
     return dict(zip(chosen.tolist(), w.tolist())), b
 
 
+def telling_features(rows: DataFrame) -> np.ndarray:
+    """Of ``rows(f array<long>, y)``, the features whose share of toxic rows is far from
+    the sample's, by a normal score; counted over the cluster."""
+    whole = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
+    n, n1 = float(whole["n"] or 0), float(whole["toxic"] or 0)
+    if not 0 < n1 < n:
+        return np.empty(0, np.uint64)
+    counted = rows.select(F.explode("f").alias("f"), "y").groupBy("f").agg(F.count("*").alias("have"), F.sum("y").alias("toxic"))
+    share = F.col("have") / n
+    z = F.abs(F.col("toxic") - n1 * share) / F.sqrt(F.lit(n1 * (1 - n1 / n)) * F.greatest(share * (1 - share), F.lit(1e-12)))
+    best = counted.where(F.col("have") >= MIN_ROWS).select("f", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "f").limit(MAX_FEATURES)
+    return np.sort(best.select("f").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def train_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", label_id: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_ROWS, fairness: float = FAIRNESS) -> Model:
     sample = sample_rows(docs, labels, label, id_col, label_id, text_col, bound, HELD_OUT_MODULUS, HELD_OUT_REMAINDER)
+    longs = pa.list_(pa.int64())
 
     def extract(batches):
         for batch in batches:
             plain, other = [], []
             for t in batch.column(0).to_pylist():
                 words = lower_words(t)
-                plain.append(features(words).tobytes())
-                other.append(features([SWAPS.get(w, w) for w in words]).tobytes() if not SWAPS.keys().isdisjoint(words) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.binary()), pa.array(other, pa.binary()), batch.column(1)], ["f", "s", "y"])
+                plain.append(features(words).view(np.int64))
+                other.append(features([SWAPS.get(w, w) for w in words]).view(np.int64) if not SWAPS.keys().isdisjoint(words) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(plain, longs), pa.array(other, longs), batch.column(1)], ["f", "s", "y"])
 
     small_batches(docs.sparkSession)
-    rows = sample.mapInArrow(extract, "f binary, s binary, y int").toArrow().to_pylist()
-    read = lambda b: None if b is None else np.frombuffer(b, np.uint64)
-    rows.sort(key=lambda r: (r["f"], r["y"]))
-    return Model(*train([(read(r["f"]), read(r["s"]), r["y"]) for r in rows], fairness))
+    rows = cut(sample.mapInArrow(extract, "f array<long>, s array<long>, y int"), "features")
+    chosen = telling_features(rows.select("f", "y"))
+
+    def narrow(batches):
+        keep = lambda x: None if x is None else x[np.isin(x.view(np.uint64), chosen)]
+        for batch in batches:
+            columns = [[None if v is None else keep(np.array(v, np.int64)) for v in batch.column(i).to_pylist()] for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, longs) for c in columns), batch.column(2)], ["f", "s", "y"])
+
+    # what comes back is a few features for each row of the bounded sample
+    examples = rows.mapInArrow(narrow, "f array<long>, s array<long>, y int").toArrow().to_pylist()
+    read = lambda x: None if x is None else np.sort(np.array(x, np.int64).view(np.uint64))
+    examples = sorted(((read(r["f"]), read(r["s"]), r["y"]) for r in examples), key=lambda e: (e[0].tobytes(), e[2]))
+    return Model(*train(examples, chosen, fairness))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
