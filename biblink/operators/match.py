@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.similarity import length_ratio, normalised_similarity, title_similarity
+from ..functions.similarity import length_ratio, normalised_similarity
 from ..functions.text import consortium_key, empty_to_null, fixed2, journal_tokens, locator_key, norm_doi, norm_text
 
 # Thresholds of the gates and the prefix of records that mirror another publisher's.
@@ -90,9 +90,11 @@ def with_signals(pairs: DataFrame) -> DataFrame:
     lead = F.lower(F.get("r_authors", F.lit(0)))
     shared = F.size(F.array_intersect(ours, theirs))
     pool = norm_text(F.concat_ws(" ", empty_to_null(c("c_corporate")), empty_to_null(c("c_title"))))
-    same_body = (title_similarity(c("r_corporate"), F.coalesce("c_corporate", F.lit(""))) >= 0.80) | F.contains(pool, consortium_key(c("r_corporate")))
+    same_body = (normalised_similarity(c("_ours"), c("_theirs")) >= 0.80) | F.contains(c("_pool"), c("_body"))
     years = (F.coalesce(c("r_year"), F.lit(0)) != 0) & (F.coalesce(c("c_year"), F.lit(0)) != 0)
-    return with_similarity(pairs).withColumns(
+    # normalised once, in a step of their own: the similarity reads each many times
+    ready = with_similarity(pairs).withColumns({"_ours": norm_text(c("r_corporate")), "_theirs": norm_text(c("c_corporate")), "_pool": pool, "_body": consortium_key(c("r_corporate"))})
+    return ready.withColumns(
         {
             "year_delta": F.when(years, F.abs(c("r_year") - c("c_year"))),
             "author_overlap": F.when((F.size(ours) > 0) & (F.size(theirs) > 0), shared / F.size(ours).cast("double")).otherwise(0.0),
@@ -106,7 +108,7 @@ def with_signals(pairs: DataFrame) -> DataFrame:
             "n_providers": provider_votes(c("c_providers")),
             "ecitmatch": F.array_contains("c_providers", CITATION_MATCH),
         }
-    )
+    ).drop("_ours", "_theirs", "_pool", "_body")
 
 
 def locator_ok() -> Column:
