@@ -141,4 +141,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of rows that repeat such an id, one stays."""
     found = near_duplicates(docs, id_col, text_col, dense)
     stays = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct(), "stays")
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([id_col])
+    # a plain equality, so that the join and the removal of repeats share one exchange of the texts
+    kept = docs.join(stays.where("_stays is not null"), F.col(id_col) == F.col("_stays"), "left_semi")
+    if not stays.where("_stays is null").isEmpty():
+        kept = kept.unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.dropDuplicates([id_col])
