@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, id_bucket, small_batches
+from .common import as_bytes, cut, id_bucket, small_batches
 
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
@@ -141,7 +141,8 @@ def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("language"), as_bytes(text_col).alias("text")).where(
         F.col("language").isNotNull() & F.col("text").isNotNull() & (id_bucket("doc_id", HELD_OUT_MODULUS) != HELD_OUT_REMAINDER)
     )
-    counts = labelled.groupBy("language").agg(F.count("*").alias("n"))
+    # stored, so that the planner sees how small it is and leaves the texts where they are
+    counts = cut(labelled.groupBy("language").agg(F.count("*").alias("n")), "languages")
     low = F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)) * F.col("n") < F.lit(_HASHES * per_language)
     sample = labelled.join(counts, "language").where(low).select("language", "text")
 
