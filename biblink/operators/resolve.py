@@ -13,28 +13,107 @@ from .parse import complete_for_text_item
 
 #: Most candidates for a reference from the token blocks.
 TOP_K = 10
-#: Title tokens that more than this share of the candidates have are no block keys.
-MAX_TOKEN_SHARE = 0.02
+#: Title tokens of more than this share of the candidates are looked up in lists, not joined.
+COMMON_SHARE = 0.02
+#: Most common tokens of a title of which all parts are kept.
+MAX_PARTED = 10
 
 REF_FIELDS = ("authors", "corporate", "title", "journal", "year", "volume", "issue", "first_page", "last_page", "is_book")
 CANDIDATE_FIELDS = ("title", "doi", "pmid", "authors", "corporate", "year", "journal", "journal_abbrev", "volume", "issue", "first_page", "last_page", "item_type", "providers")
 
 
-def token_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K, max_share: float = MAX_TOKEN_SHARE) -> DataFrame:
+def _weight(terms: Column) -> Column:
+    """Sum of the weights, in the order of the tokens."""
+    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["w"])
+
+
+def _key(terms: Column) -> Column:
+    return F.array_join(F.transform(terms, lambda t: t["token"]), " ")
+
+
+def _parts(terms: Column) -> Column:
+    """All parts of a short list of terms but the empty one."""
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(terms)) - 1)
+    return F.transform(masks, lambda m: F.filter(terms, lambda t, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+
+
+def _first(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
+
+
+def _common_blocks(asked: DataFrame, known: DataFrame, cand_key: str, k: int) -> DataFrame:
+    """``(profile, cand_key, idf)``: for each distinct list of common tokens the ``k`` best
+    candidates by these tokens alone.
+
+    ``asked(profile, common, everywhere)`` and ``known(cand_key, common)``.  A candidate
+    among the ``k`` best has, among all candidates with the tokens it shares, one of
+    the ``k`` smallest keys: others of that kind are as good and come first.  So each part
+    of a list keeps ``k`` candidates, and nothing is paired.
+    """
+    best = [F.col("idf").desc(), cand_key]
+    profiles = asked.groupBy("profile").agg(F.first("common").alias("common"), F.first("everywhere").alias("everywhere"))
+    profiles = materialize(profiles, "profiles")
+    heads = known.where(F.size("common") > 0).withColumn("have", _key(F.col("common")))
+    heads = materialize(_first(heads, ["have"], [cand_key], k).select(cand_key, "common", "have"), "heads")
+
+    short = F.size("common") <= MAX_PARTED
+    parts = heads.where(short).select(cand_key, F.explode(_parts(F.col("common"))).alias("part")).select(cand_key, _key(F.col("part")).alias("part"))
+    parts = materialize(_first(parts, ["part"], [cand_key], k).drop("place"), "parts")
+    asks = profiles.where(short).select("profile", F.explode(_parts(F.col("common"))).alias("part"))
+    asks = asks.select("profile", _key(F.col("part")).alias("part"), F.round(_weight(F.col("part")), 6).alias("idf"))
+    asks = materialize(asks.join(parts.groupBy("part").agg(F.count("*").alias("n")), "part"), "asks")
+    # a part that k candidates have bounds the k-th best from below
+    bound = asks.where(F.col("n") >= k).groupBy("profile").agg(F.max("idf").alias("bound"))
+    useful = asks.join(bound, "profile", "left").where(F.col("bound").isNull() | (F.col("idf") >= F.col("bound")))
+    found = useful.join(parts, "part").select("profile", cand_key, "idf")
+
+    # lists too long to part are paired
+    if not (profiles.where(~short).isEmpty() and heads.where(~short).isEmpty()):
+        terms = lambda df, *keys: df.select(*keys, short.alias("short"), F.explode("common").alias("t"))
+        left = terms(profiles, "profile").select("profile", F.col("short").alias("s1"), "t.token", "t.w")
+        right = terms(heads, cand_key).select(cand_key, F.col("short").alias("s2"), "t.token")
+        paired = left.join(right, "token").where("not (s1 and s2)").groupBy("profile", cand_key)
+        found = found.unionByName(paired.agg(F.round(_weight(F.array_sort(F.collect_list(F.struct("token", "w")))), 6).alias("idf")))
+
+    # tokens of all candidates weigh nothing, but they are shared
+    lowest = known.select(cand_key).orderBy(cand_key).limit(k)
+    found = found.unionByName(profiles.where("everywhere").select("profile").crossJoin(F.broadcast(lowest)).withColumn("idf", F.lit(0.0)))
+    return _first(found.groupBy("profile", cand_key).agg(F.max("idf").alias("idf")), ["profile"], best, k).drop("place")
+
+
+def token_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K, max_share: float | None = None) -> DataFrame:
     """``(ref_keys, cand_key, idf, place)``: for each reference the ``k`` candidates that
-    share most inverse document frequency with its title.
+    share most inverse document frequency with its title, over all tokens.
 
-    Tokens that a large share of the candidates have don't block: they would
-    meet everything.  A reference without a rarer token finds nothing here.
+    Tokens of at most ``COMMON_SHARE`` of the candidates are joined; commoner ones,
+    of which there are few whatever the size, are looked up by ``_common_blocks``.
+    With ``max_share``, tokens of more candidates than that don't count at all.
     """
-    left = refs.select(*ref_keys, F.explode(F.array_distinct(tokens(norm_text(F.col("title"))))).alias("token"))
-    right = cands.select(cand_key, F.explode(F.array_distinct(tokens(norm_text(F.col("title"))))).alias("token")).distinct()
+    words = F.explode(F.array_distinct(tokens(norm_text(F.col("title"))))).alias("token")
+    left = materialize(refs.select(*ref_keys, words), "ref_tokens")
+    right = materialize(cands.select(cand_key, words).distinct(), "cand_tokens")
     total = cands.select(cand_key).distinct().count()
-    rare = right.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= F.greatest(F.lit(1.0), F.lit(max_share * total)))
-    weighted = right.join(rare, "token").withColumn("w", F.log(F.lit(float(max(1, total))) / F.col("df")))
-    met = left.join(weighted, "token").groupBy(*ref_keys, cand_key).agg(F.round(F.sum("w"), 6).alias("idf"))
-    place = F.row_number().over(W.partitionBy(*ref_keys).orderBy(F.col("idf").desc(), cand_key))
-    return met.withColumn("place", place).where(F.col("place") <= k)
+    df = materialize(right.groupBy("token").agg(F.count("*").alias("df")).withColumn("w", F.log(F.lit(float(max(1, total))) / F.col("df"))), "df")
+    limit = max(1.0, (COMMON_SHARE if max_share is None else max_share) * total)
+    rare, common = df.where(F.col("df") <= limit).select("token", "w"), F.broadcast(df.where(F.col("df") > limit).select("token", "w"))
+    met = left.join(right.join(rare, "token"), "token").groupBy(*ref_keys, cand_key).agg(F.sum("w").alias("idf"))
+    if max_share is not None:
+        return _first(met.withColumn("idf", F.round("idf", 6)), ref_keys, [F.col("idf").desc(), cand_key], k)
+
+    terms = F.array_sort(F.collect_list(F.struct("token", "w")))
+    weighty = F.filter("all", lambda t: t["w"] > 0)
+    asked = left.join(common, "token").groupBy(*ref_keys).agg(terms.alias("all")).select(*ref_keys, _key(F.col("all")).alias("profile"), weighty.alias("common"), (F.size(weighty) < F.size("all")).alias("everywhere"))
+    asked = materialize(asked, "asked")
+    known = materialize(right.join(common, "token").groupBy(cand_key).agg(terms.alias("all")).select(cand_key, weighty.alias("common")), "known")
+    by_common = materialize(_common_blocks(asked, known, cand_key, k), "by_common")
+
+    none = F.array().cast(known.schema["common"].dataType)
+    theirs = known.select(cand_key, F.transform("common", lambda t: t["token"]).alias("theirs"))
+    both = met.join(asked.select(*ref_keys, "common"), ref_keys, "left").join(theirs, cand_key, "left")
+    shared = F.filter(F.coalesce("common", none), lambda t: F.array_contains(F.coalesce("theirs", F.array().cast("array<string>")), t["token"]))
+    exact = both.select(*ref_keys, cand_key, F.round(F.col("idf") + _weight(shared), 6).alias("idf"))
+    pairs = exact.unionByName(asked.select(*ref_keys, "profile").join(by_common, "profile").select(*ref_keys, cand_key, "idf"))
+    return _first(pairs.groupBy(*ref_keys, cand_key).agg(F.max("idf").alias("idf")), ref_keys, [F.col("idf").desc(), cand_key], k)
 
 
 def locator_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:

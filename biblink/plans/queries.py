@@ -192,9 +192,10 @@ def title_match(spark, sf_dir):
 
 
 def token_block_topk(spark, sf_dir):
+    """Its SQL leaves tokens of over 2% of the papers out; the cascade counts all."""
     p = fx.papers(spark, sf_dir)
     asked = p.select("paper_id", "title").withColumnRenamed("paper_id", "n")
-    return resolve.token_blocks(asked, p, ["n"], "paper_id", k=3).select("n", "paper_id", "idf", "place")
+    return resolve.token_blocks(asked, p, ["n"], "paper_id", k=3, max_share=0.02).select("n", "paper_id", "idf", "place")
 
 
 def fallback_pass(spark, sf_dir):
