@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..cuts import materialize
-from ..functions.text import fixed2, norm_doi, norm_text, ref_key, title_case, tokens
+from ..functions.text import fixed2, locator_key, norm_doi, norm_text, ref_key, title_case, tokens
 from . import match
 from .parse import complete_for_text_item
 
@@ -117,9 +117,11 @@ def token_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_ke
 
 
 def locator_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:
-    """Pairs that agree on volume, first page and, within a year, the year."""
-    left = refs.where(match.present(F.col("first_page")) & match.present(F.col("volume"))).select(*ref_keys, F.col("volume").alias("bv"), F.col("first_page").alias("bf"), F.col("year").alias("by"))
-    right = cands.where(match.present(F.col("first_page"))).select(cand_key, F.col("volume").alias("bv"), F.col("first_page").alias("bf"), F.col("year").alias("cy"))
+    """Pairs whose volume and first page the gate calls equal and, within a year, the year."""
+    given = match.present(F.col("first_page")) & match.present(F.col("volume"))
+    place = [locator_key(F.col("volume")).alias("bv"), locator_key(F.col("first_page")).alias("bf")]
+    left = refs.where(given).select(*ref_keys, *place, F.col("year").alias("by"))
+    right = cands.where(given).select(cand_key, *place, F.col("year").alias("cy"))
     return left.join(right, ["bv", "bf"]).where(F.abs(F.col("by") - F.col("cy")) <= 1).select(*ref_keys, cand_key).distinct()
 
 
@@ -137,10 +139,9 @@ def fallback(first: DataFrame, second: DataFrame, refs: DataFrame, ref_keys: lis
 
 
 def gather(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K) -> DataFrame:
-    """Merged candidates of each reference from the title and locator blocks, then,
-    for references that neither finds, from the token blocks."""
-    direct = title_blocks(refs, cands, ref_keys, cand_key).unionByName(locator_blocks(refs, cands, ref_keys, cand_key)).distinct()
-    pairs = fallback(direct, token_blocks(refs, cands, ref_keys, cand_key, k).select(*ref_keys, cand_key), refs, ref_keys)
+    """Merged candidates of each reference from the title, locator and token blocks together."""
+    fuzzy = token_blocks(refs, cands, ref_keys, cand_key, k).select(*ref_keys, cand_key)
+    pairs = title_blocks(refs, cands, ref_keys, cand_key).unionByName(locator_blocks(refs, cands, ref_keys, cand_key)).unionByName(fuzzy).distinct()
     rows = pairs.join(cands, cand_key).withColumn("arrival", F.col("arrival").cast("long") * 1_000_000_000_000 + F.col(cand_key).cast("long"))
     return match.dedupe_candidates(rows, ref_keys)
 
