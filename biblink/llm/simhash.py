@@ -127,22 +127,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null if it has none.  Repeated rows come out as often as they came in.
     """
     prints = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), dense))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "rooted")
+    rooted = _rooted(prints, dense)
     smallest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     by_print = cut(rooted.join(smallest, "root").select("fp", "component_id"), "by_print")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _rooted(prints: DataFrame, dense: int) -> DataFrame:
+    """``(fp, first_id, root)`` for each distinct fingerprint, ``root`` one fingerprint of its component."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = connected_components(fingerprint_links(distinct.select("fp"), dense))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return cut(rooted, "rooted")
+
+
+def _row_key(id_col: str, text_col: str):
+    """Equal for rows of the same id and text; nulls equal each other only."""
+    name = F.col(id_col).cast("string")
+    known = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
+    return F.md5(F.concat(known, F.coalesce(F.concat(F.lit("+"), F.col(text_col)), F.lit("-"))).cast("binary"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
-    """The rows whose id is its component's smallest, with the columns they came with;
-    of rows that repeat such an id, one stays."""
-    found = near_duplicates(docs, id_col, text_col, dense)
-    stays = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct(), "stays")
+    """One row of each component, with the columns it came with: that of the smallest id,
+    of its texts the one of the smallest key.  A component without ids keeps a row
+    as well, and an id with texts in several components stays in each that it leads."""
+    key = _row_key(id_col, text_col)
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))
+    prints = cut(fingerprints(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text"), "fingerprints")
+    first = _rooted(prints, dense).groupBy("root").agg(F.min("first_id").alias("first"))
+    stays = cut(first.select(F.col("first.key").alias("_stays")), "stays")
     # a plain equality, so that the join and the removal of repeats share one exchange of the texts
-    kept = docs.join(stays.where("_stays is not null"), F.col(id_col) == F.col("_stays"), "left_semi")
-    if not stays.where("_stays is null").isEmpty():
-        kept = kept.unionByName(docs.where(F.col(id_col).isNull()))
-    return kept.dropDuplicates([id_col])
+    kept = docs.withColumn("_row_key", key).join(stays, F.col("_row_key") == F.col("_stays"), "left_semi")
+    return kept.dropDuplicates(["_row_key"]).drop("_row_key")

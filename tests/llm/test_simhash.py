@@ -1,7 +1,7 @@
 import random
 
 from biblink.llm.components import connected_components
-from biblink.llm.simhash import PLANES, fingerprint, fingerprint_links, near_duplicates
+from biblink.llm.simhash import PLANES, fingerprint, fingerprint_links, keep_one_of_each, near_duplicates
 from itertools import combinations
 
 from . import brute
@@ -61,3 +61,12 @@ def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100}
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    words = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    docs = [(1, words("a")), (None, words("a")), (None, words("b")), (None, words("b")), (None, words("c")), (5, words("a")), (5, words("d")), (7, words("e")), (7, words("f")), (9, None), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, keep_one_of_each(df).collect()), key=str)
+    want = [(1, words("a")), (None, words("b")), (None, words("c")), (5, words("d")), (7, words("e")), (7, words("f")), (9, None)]
+    assert got == sorted(want, key=str)
