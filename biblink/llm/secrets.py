@@ -2,8 +2,8 @@
 
 Candidate spans are found in each whole text; their values are hashed, and each
 hash is counted over distinct repositories and owners of the whole corpus.
-Values that many owners have are copied examples; values of one owner that look
-random are live-looking credentials.
+Values that many owners or very many repositories have are copied examples;
+others that look random are live-looking credentials.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "opaque")
 MIN_ASSIGN_VALUE = 6
 #: A value that this many owners have is a copied example.
 EXAMPLE_OWNERS = 3
+#: So is one that more repositories than this have, whoever owns them.
+EXAMPLE_REPOS = 100
 #: A value with fewer distinct characters isn't live-looking.
 MIN_DISTINCT = 10
 
@@ -89,7 +91,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_co
     owners = pairs.select("h", "owner").distinct().groupBy("h").agg(F.count("*").alias("n_owners"))
     repos = pairs.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("n_repos"))
     frequency = cut(owners.join(repos, "h"), "frequency")
-    example = F.col("n_owners") >= EXAMPLE_OWNERS
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") > EXAMPLE_REPOS)
     judged = found.join(frequency, "h").select(
         "row", F.struct("start", "kind", "end", "n_repos", "n_owners", example.alias("example"), (~example & (F.col("distinct") >= MIN_DISTINCT)).alias("live")).alias("s")
     )
@@ -109,11 +111,12 @@ def _listed(spans: Column) -> Column:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example)``.
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, copies)``.
 
     One row for each input row.  Null texts count as empty, null repositories and
     owners as one unnamed each; repeated rows each count as occurrences but not
-    as further owners.  ``spans`` lists ``kind:start:end`` in code points.
+    as further owners.  ``spans`` lists ``kind:start:end`` in code points,
+    ``copies`` the ``n_repos:n_owners`` of each in the same order.
     """
     found = scanned(docs, id_col, text_col, repo_col, owner_col)
     count = lambda spans, test: F.size(F.filter(spans, test)).cast("long")
@@ -128,6 +131,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _listed(spans).alias("spans"),
         count(spans, lambda s: s["live"]).alias("n_live"),
         count(spans, lambda s: s["example"]).alias("n_example"),
+        F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["n_repos"], s["n_owners"])), ",").alias("copies"),
     )
 
 

@@ -54,3 +54,11 @@ def test_shapes_ownership_and_redaction(spark):
     assert clean[5] == "[SECRET]g" + "deadbeef" * 2 + " [SECRET]"
     assert all(not brute.base_secrets(t) for t in clean.values())
     assert secret_scan(df.limit(0)).collect() == [] and redact(df.limit(0)).collect() == []
+
+
+def test_copies_in_very_many_repositories_of_one_owner_are_examples(spark):
+    wide, few = "token=Za1Sx2Dc3Fv4Gb5Hn6Jm7Kl", "token=Qw8Er9Ty0Ui1Op2As3Df4Gh"
+    df = spark.createDataFrame([(i, wide, "hot") for i in range(101)] + [(500 + i, few, "hot") for i in range(100)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan(df).collect()}
+    assert (got[0].n_example, got[0].n_live, got[0].copies) == (1, 0, "101:1")
+    assert (got[500].n_example, got[500].n_live, got[500].copies) == (0, 1, "100:1")
