@@ -125,6 +125,22 @@ def locator_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_
     return left.join(right, ["bv", "bf"]).where(F.abs(F.col("by") - F.col("cy")) <= 1).select(*ref_keys, cand_key).distinct()
 
 
+def citation_matches(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:
+    """``(ref_keys, cand_key)``: PubMed's records at a reference's journal, year, volume and
+    first page, if they are of one paper; with the first author and else without."""
+    c = F.col
+    place = lambda: [locator_key(c("volume")).alias("bv"), locator_key(c("first_page")).alias("bf"), c("year").alias("by")]
+    given = match.present(c("first_page")) & match.present(c("volume")) & (c("year") != 0)
+    lead = F.lower(F.get("authors", F.lit(0)))
+    left = refs.where(given & match.present(c("journal"))).select(*ref_keys, *place(), c("journal").alias("rj"), lead.alias("lead"))
+    right = cands.where(given & match.present(c("pmid")) & F.array_contains("providers", "pubmed")).select(cand_key, "pmid", *place(), "journal", "journal_abbrev", F.transform("authors", F.lower).alias("theirs"))
+    met = left.join(right, ["bv", "bf", "by"]).where(match.journal_match(c("rj"), c("journal"), c("journal_abbrev")))
+    by_author = F.when(F.coalesce((c("lead") != "") & F.array_contains("theirs", c("lead")), F.lit(False)), c("pmid"))
+    only = lambda x: F.when(F.min(x) == F.max(x), F.min(x))
+    hit = met.groupBy(*ref_keys).agg(F.coalesce(only(by_author), only(c("pmid"))).alias("hit")).where("hit is not null")
+    return met.select(*ref_keys, cand_key, "pmid").join(hit, ref_keys).where("pmid = hit").select(*ref_keys, cand_key).distinct()
+
+
 def title_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:
     """Pairs with equal normalised titles."""
     left = refs.select(*ref_keys, norm_text(F.col("title")).alias("t")).where("t <> ''")
@@ -138,11 +154,18 @@ def fallback(first: DataFrame, second: DataFrame, refs: DataFrame, ref_keys: lis
     return first.unionByName(second.join(unmet, ref_keys, "left_semi"))
 
 
-def gather(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K) -> DataFrame:
-    """Merged candidates of each reference from the title, locator and token blocks together."""
+def gather(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K, cited: bool = False) -> DataFrame:
+    """Merged candidates of each reference from the title, locator and token blocks together;
+    with ``cited`` also from the citation match, whose hits bear its tag."""
     fuzzy = token_blocks(refs, cands, ref_keys, cand_key, k).select(*ref_keys, cand_key)
     pairs = title_blocks(refs, cands, ref_keys, cand_key).unionByName(locator_blocks(refs, cands, ref_keys, cand_key)).unionByName(fuzzy).distinct()
-    rows = pairs.join(cands, cand_key).withColumn("arrival", F.col("arrival").cast("long") * 1_000_000_000_000 + F.col(cand_key).cast("long"))
+    if cited:
+        hits = materialize(citation_matches(refs, cands, ref_keys, cand_key), "cited")
+        pairs = pairs.unionByName(hits).distinct().join(hits.withColumn("_cited", F.lit(True)), [*ref_keys, cand_key], "left")
+    rows = pairs.join(cands, cand_key)
+    if cited:
+        rows = rows.withColumn("providers", F.when(F.col("_cited"), F.array_union("providers", F.array(F.lit(match.CITATION_MATCH)))).otherwise(F.col("providers"))).drop("_cited")
+    rows = rows.withColumn("arrival", F.col("arrival").cast("long") * 1_000_000_000_000 + F.col(cand_key).cast("long"))
     return match.dedupe_candidates(rows, ref_keys)
 
 
@@ -192,13 +215,14 @@ def advisories(scored: DataFrame, ref_keys: list[str]) -> DataFrame:
     return both.select(*ref_keys, F.array_compact(F.array(F.when(c("v").isNotNull(), verify), F.when(c("l").isNotNull(), elsewhere))).alias("notes"))
 
 
-def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, corrections: DataFrame | None = None, cache: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
+def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, corrections: DataFrame | None = None, cache: DataFrame | None = None, k: int = TOP_K, cited: bool = False) -> DataFrame:
     """One row for each parsed reference: status, tier, confidence, reason, chosen candidate, alternatives, notes.
 
     Layers apply in order: corrections and cache by ``ref_key(raw)``, both with
     ``(ref_key, candidate)`` and the cache with its status, tier and confidence;
     identifiers; the best gate of the gathered candidates; the reference's own
     text; review.  Only what the earlier layers leave reaches the fuzzy join.
+    ``cited`` asks the citation match as well.
     """
     keyed = materialize(refs.withColumn("ref_key", ref_key(F.col("raw"))), "refs")
     cands = materialize(cands, "candidates")
@@ -222,7 +246,7 @@ def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: st
         settle(shaped(left.join(kept, "ref_key"), F.struct("status", "tier", F.col("confidence").cast("double").alias("confidence"), F.lit("from cache").alias("reason")), F.col("candidate")))
 
     left = materialize(left, "unsettled")
-    merged = materialize(gather(left, cands, ref_keys, cand_key, k), "gathered")
+    merged = materialize(gather(left, cands, ref_keys, cand_key, k, cited), "gathered")
     pairs = as_pairs(left, merged, ref_keys).join(merged.select(*ref_keys, "arrival", F.col(cand_key).cast("string").alias("_c")), [*ref_keys, "arrival"])
     scored = materialize(match.score_pairs(pairs, ref_keys), "scored")
     accepted = F.when(F.col("gate.ok"), F.struct(F.col("gate.confidence").alias("conf"), (-F.col("rank")).alias("r")))
