@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..cuts import materialize
+
 PAPERS = """
 SELECT p_partkey AS paper_id,
  concat(upper(substring(p_name,1,1)), substring(p_name,2), ' ', lower(p_type), ' outcomes in cohort ', CAST(p_partkey AS VARCHAR(20))) AS title,
@@ -27,7 +29,7 @@ SELECT o.o_orderkey AS n, o.o_orderkey % 10 AS variant, p.paper_id AS truth,
   CAST(CASE WHEN o.o_orderkey % 10 = 2 THEN p.year+1 WHEN o.o_orderkey % 10 = 3 THEN p.year+2 ELSE p.year END AS VARCHAR(9)),
   CASE WHEN o.o_orderkey % 10 = 5 THEN '.' ELSE concat(';', CASE WHEN o.o_orderkey % 10 = 1 THEN '999' ELSE p.vol END, '(', p.issue, '):', p.fp, '-', p.lp, '.') END,
   CASE WHEN o.o_orderkey % 10 = 6 THEN concat(' doi:', p.doi, '.') WHEN o.o_orderkey % 10 = 7 THEN concat(' PMID: ', p.pmid, '.') ELSE '' END) AS raw
-FROM orders o CROSS JOIN (SELECT count(*) AS c FROM part) k JOIN ({PAPERS}) p ON p.paper_id = o.o_orderkey % k.c
+FROM (SELECT o_orderkey, o_orderkey % (SELECT count(*) FROM part) AS cited FROM orders) o JOIN ({PAPERS}) p ON p.paper_id = o.cited
 """
 
 CANDIDATES = f"""
@@ -95,6 +97,11 @@ def refs(spark, sf_dir):
     return fixture(spark, sf_dir, REFS)
 
 
+def lines(spark, sf_dir):
+    """The manuscripts' lines, written once: a reference list reads them several times."""
+    return materialize(fixture(spark, sf_dir, LINES), "lines")
+
+
 def candidates(spark, sf_dir):
     """Candidate rows in the library's schema."""
     from pyspark.sql import functions as F

@@ -93,11 +93,11 @@ def search_values(spark, sf_dir):
 
 
 def biblio_bounds(spark, sf_dir):
-    return bib.bounds(fx.fixture(spark, sf_dir, fx.LINES))
+    return bib.bounds(fx.lines(spark, sf_dir))
 
 
 def biblio_segment(spark, sf_dir):
-    return bib.segment(fx.fixture(spark, sf_dir, fx.LINES).where("line_no > 2"))
+    return bib.segment(fx.lines(spark, sf_dir).where("line_no > 2"))
 
 
 def parse_identifiers(spark, sf_dir):

@@ -26,3 +26,17 @@ def test_entry_imports_and_lists():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["biblio_bounds", "biblio_segment", "ref_key_sha1", "parse_locator", "dedupe_candidates"])
+def test_plans_join_on_keys(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_manuscripts_are_joined_on_keys(spark):
+    from biblink.plans import fixtures
+
+    for sql in (fixtures.REFS, fixtures.LINES):
+        plan = fixtures.fixture(spark, SF, sql)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
