@@ -2,23 +2,27 @@
 
 A fingerprint has eight positional bytes.  Two fingerprints at 3 or fewer
 differing bits differ in at most three bytes, so they share at least five
-positional bytes.  The index holds positional bytes in sets of four, taken
-from the fourteen planes ``{a, b, c, d : a ^ b ^ c ^ d = 0}`` of eight points:
-every choice of three differing positions misses at least one whole plane, so
-each pair within the limit meets in some bucket.  Pairs that meet are tallied
-(shared positional bytes out of eight), those under the guaranteed minimum of
-five are dropped, and the rest are verified by their differing bits.
-
-A bucket has 32 fixed bits, so chance meetings stay rare at any size.  Buckets
-of more than ``DENSE`` distinct fingerprints are not paired: their members are
-grouped by their fingerprint with three free bits masked, for every choice of
-three.  Members of such a group are within 3 bits of each other and are linked
-to its smallest one, so the links grow with the members and no pair is lost.
+positional bytes.  The index has a list for each choice of four positions and
+each value of their bytes (the intersection of four single-byte lists: 32 fixed
+bits, so that chance meetings stay rare at any size).  A pair that shares ``m``
+positional bytes meets in ``C(m, 4)`` lists.  Meetings are tallied for each
+pair; pairs under the guaranteed minimum of ``C(5, 4) = 5`` are dropped, and the
+rest are verified by their differing bits.
+
+No list of more than ``LONG_LIST`` fingerprints is paired.  A retained pair
+shares a fifth byte, so a longer list is cut by each further position and value,
+and a pair is tallied in the first of these shorter lists that it shares.  What
+is still too long has 40 fixed bits and so at most 2**24 fingerprints; its
+members are linked by sorting them with three of the free bits masked, for every
+choice of three, until they hang together or all choices are through.  Rows grow
+with the fingerprints, not with pairs, and no link is lost: a pair within the
+limit is either tallied in full or lies in such a list.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,13 @@ from .common import LOWER_ASCII, as_bytes, cut, small_batches
 from .components import connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
-PLANES = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 MIN_SHARED_BYTES = 8 - MAX_BITS
-DENSE = 8192
+LIST_BYTES = MIN_SHARED_BYTES - 1
+LISTS = list(combinations(range(8), LIST_BYTES))
+#: Lists in which a pair with the fewest shared bytes meets.
+MIN_MEETINGS = comb(MIN_SHARED_BYTES, LIST_BYTES)
+#: Most fingerprints of a list that are paired.
+LONG_LIST = 64
 _CHUNK = 1 << 16
 
 
@@ -75,49 +83,121 @@ def _byte(col, position: int):
     return F.shiftrightunsigned(col, 8 * position).bitwiseAND(F.lit(255))
 
 
-def _bucket_key(col, plane):
-    key = F.lit(0).cast("long")
-    for p in plane:
-        key = F.shiftleft(key, 8).bitwiseOR(_byte(col, p))
-    return key
+def _entries(fp, lists=LISTS):
+    """The lists that a fingerprint is in: the choice of positions above its four bytes."""
+    keys = []
+    for number, positions in enumerate(lists):
+        key = F.lit(number).cast("long")
+        for p in positions:
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, p))
+        keys.append(key)
+    return F.array(*keys)
 
 
-def fingerprint_links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
+def _with_sizes(entries: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Entries of lists with two members or more, with their number ``n``."""
+    sizes = cut(entries.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), f"{name}-sizes")
+    return cut(entries.join(sizes, by), name)
+
+
+def _meetings(members: DataFrame, by: list[str]) -> DataFrame:
+    left, right = members.select(*by, F.col("fp").alias("a")), members.select(*by, F.col("fp").alias("b"))
+    return left.join(right, by).where("a < b")
+
+
+def fingerprint_links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """``fps(fp long)``, distinct, to ``(a, b)``: links that connect every two
     fingerprints at ``MAX_BITS`` or fewer differing bits."""
-    planes = F.array(*[F.struct(F.lit(i).alias("plane"), _bucket_key(F.col("fp"), p).alias("key")) for i, p in enumerate(PLANES)])
-    keyed = fps.select("fp", F.explode(planes).alias("k")).select("k.plane", "k.key", "fp")
-    sizes = cut(keyed.groupBy("plane", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = cut(keyed.join(sizes, ["plane", "key"]), "members")
-
-    one = shared.where(F.col("n") <= dense)
-    left, right = one.select("plane", "key", F.col("fp").alias("a")), one.select("plane", "key", F.col("fp").alias("b"))
+    index = fps.select(F.explode(_entries(F.col("fp"))).alias("list"), "fp")
+    members = _with_sizes(index, ["list"], "lists")
+    met = _meetings(members.where(F.col("n") <= long_list), ["list"]).select("a", "b")
+
+    # a longer list by each position that it doesn't fix, and the byte there
+    free = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in positions]) for positions in LISTS])
+    long_ones = members.where(F.col("n") > long_list).select("list", "fp", F.explode(F.element_at(free, (F.shiftright("list", 32) + 1).cast("int"))).alias("p"))
+    byte_at = F.element_at(F.array(*[_byte(F.col("fp"), p) for p in range(8)]), F.col("p") + 1)
+    finer = _with_sizes(long_ones.select("list", "fp", "p", byte_at.alias("byte")), ["list", "p", "byte"], "finer")
+    again = _meetings(finer.where(F.col("n") <= long_list), ["list", "p", "byte"])
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.when(_byte(diff, p) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-    links = left.join(right, ["plane", "key"]).where("a < b").where(tally >= MIN_SHARED_BYTES).where(F.bit_count(diff) <= MAX_BITS).select("a", "b")
-
-    if sizes.where(F.col("n") > dense).isEmpty():
-        return links.distinct()
-    return links.unionByName(_dense_links(shared.where(F.col("n") > dense))).distinct()
-
-
-def _dense_links(members: DataFrame) -> DataFrame:
-    """Links within buckets too large to pair: one to the smallest member of each masked group."""
-    free = F.array(*[F.array(*[F.lit(8 * p + b) for p in range(8) if p not in plane for b in range(8)]) for plane in PLANES])
-    bits = members.select("plane", "key", "fp", F.element_at(free, F.col("plane") + 1).alias("bits"))
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.element_at("bits", F.col(i) + 1))
-    masked = (
-        bits.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(29))))
-        .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(30))))
-        .withColumn("k", F.explode(F.sequence(F.col("j") + 1, F.lit(31))))
-        .withColumn("mask", bit("i").bitwiseOR(bit("j")).bitwiseOR(bit("k")))
-        .withColumn("rest", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
-    )
-    groups = masked.groupBy("plane", "mask", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return groups.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
+    position_free = F.element_at(free, (F.shiftright("list", 32) + 1).cast("int"))
+    equal_at = lambda p: F.element_at(F.array(*[_byte(diff, i) == 0 for i in range(8)]), p + 1)
+    once = ~F.exists(position_free, lambda p: (p < F.col("p")) & equal_at(p))
+    met = met.unionByName(again.where(once).select("a", "b"))
+
+    tallied = met.groupBy("a", "b").agg(F.count("*").alias("meetings")).where(F.col("meetings") >= MIN_MEETINGS)
+    links = tallied.where(F.bit_count(diff) <= MAX_BITS).select("a", "b")
+
+    # the same five bytes are reached from several lists; the one without the last position stands for all
+    last = F.array(*[F.lit(max(positions)) for positions in LISTS])
+    packed = finer.where((F.col("n") > long_list) & (F.col("p") > F.element_at(last, (F.shiftright("list", 32) + 1).cast("int"))))
+    dealt = packed.select("list", "p", "byte", "fp").repartition("list", "p", "byte").sortWithinPartitions("list", "p", "byte")
+    return links.unionByName(dealt.mapInArrow(_long_list_links, "a long, b long"))
+
+
+def masked_links(values: np.ndarray) -> list[tuple[int, int]]:
+    """Fewer links than ``values`` (distinct, unsigned) that connect all pairs at ``MAX_BITS``
+    or fewer differing bits: what agrees outside of a mask of so many bits is linked."""
+    differ = int(np.bitwise_or.reduce(values ^ values[0]))
+    bits = [i for i in range(64) if differ >> i & 1]
+    component, left, links = np.arange(len(values)), len(values), []
+    masks = combinations(bits, min(MAX_BITS, len(bits)))
+    # masks that share few bits come first: a dense list hangs together after some
+    for chosen in chain(zip(*(bits[i::MAX_BITS] for i in range(MAX_BITS))), masks):
+        if left == 1:
+            break
+        rest = values & ~np.uint64(sum(1 << i for i in chosen))
+        order = np.argsort(rest, kind="stable")
+        same = np.flatnonzero(rest[order][1:] == rest[order][:-1])
+        x, y = order[same], order[same + 1]
+        apart = component[x] != component[y]
+        if not apart.any():
+            continue
+        root: dict[int, int] = {}
+
+        def find(c):
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+            a, b = find(int(component[i])), find(int(component[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((i, j))
+                left -= 1
+        names, place = np.unique(component, return_inverse=True)
+        component = np.array([find(c) for c in names.tolist()])[place]
+    return links
+
+
+def _long_list_links(batches):
+    """Links of sorted ``(list, p, byte, fp)``: one list of at most 2**24 fingerprints at a time."""
+
+    def linked(parts):
+        values = np.concatenate(parts).view(np.uint64)
+        pairs = np.array(masked_links(values), np.int64).reshape(-1, 2)
+        signed = values.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(signed[pairs[:, 0]]), pa.array(signed[pairs[:, 1]])], ["a", "b"])
+
+    key, parts = None, []
+    for batch in batches:
+        names = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+        fps = batch.column(3).to_numpy()
+        edges = np.r_[0, np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1, len(names)]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if low == high:
+                continue
+            if parts and tuple(names[low]) != key:
+                yield linked(parts)
+                parts = []
+            key = tuple(names[low])
+            parts.append(fps[low:high])
+    if parts:
+        yield linked(parts)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row for each input row.
 
     ``fingerprint`` is 16 lower-case hex digits; ``component_id`` is the smallest
@@ -127,16 +207,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null if it has none.  Repeated rows come out as often as they came in.
     """
     prints = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    rooted = _rooted(prints, dense)
+    rooted = _rooted(prints, long_list)
     smallest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     by_print = cut(rooted.join(smallest, "root").select("fp", "component_id"), "by_print")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _rooted(prints: DataFrame, dense: int) -> DataFrame:
+def _rooted(prints: DataFrame, long_list: int) -> DataFrame:
     """``(fp, first_id, root)`` for each distinct fingerprint, ``root`` one fingerprint of its component."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), dense))
+    roots = connected_components(fingerprint_links(distinct.select("fp"), long_list))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     return cut(rooted, "rooted")
 
@@ -148,15 +228,19 @@ def _row_key(id_col: str, text_col: str):
     return F.md5(F.concat(known, F.coalesce(F.concat(F.lit("+"), F.col(text_col)), F.lit("-"))).cast("binary"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
-    """One row of each component, with the columns it came with: that of the smallest id,
-    of its texts the one of the smallest key.  A component without ids keeps a row
-    as well, and an id with texts in several components stays in each that it leads."""
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
+    """One row of each component, with the columns it came with, whatever their names: that
+    of the smallest id, of its texts the one of the smallest key.  A component without
+    ids keeps a row as well, and an id with texts in several components stays in
+    each that it leads.  Null, empty and blank texts are one component; of rows
+    with equal id and text one stays; an empty table gives no rows."""
     key = _row_key(id_col, text_col)
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))
-    prints = cut(fingerprints(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text"), "fingerprints")
-    first = _rooted(prints, dense).groupBy("root").agg(F.min("first_id").alias("first"))
-    stays = cut(first.select(F.col("first.key").alias("_stays")), "stays")
-    # a plain equality, so that the join and the removal of repeats share one exchange of the texts
-    kept = docs.withColumn("_row_key", key).join(stays, F.col("_row_key") == F.col("_stays"), "left_semi")
-    return kept.dropDuplicates(["_row_key"]).drop("_row_key")
+    prints = cut(fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text"), "fingerprints")
+    first = _rooted(prints, long_list).groupBy("root").agg(F.min("first_id").alias("first"))
+    stays = cut(first.select(F.col("first.key").alias("stays")), "stays")
+    # a plain equality, so that the join and the removal of repeats share one exchange of the texts;
+    # the row is one column, so that its own columns may have any name
+    whole = docs.select(key.alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    kept = whole.join(stays, F.col("key") == F.col("stays"), "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,8 +1,9 @@
 import random
 
 from biblink.llm.components import connected_components
-from biblink.llm.simhash import PLANES, fingerprint, fingerprint_links, keep_one_of_each, near_duplicates
-from itertools import combinations
+from biblink.llm.simhash import LISTS, MIN_MEETINGS, fingerprint, fingerprint_links, keep_one_of_each, masked_links, near_duplicates
+
+import numpy as np
 
 from . import brute
 
@@ -11,8 +12,21 @@ def rows(df):
     return {tuple(r) for r in df.collect()}
 
 
-def test_every_three_positions_miss_a_plane():
-    assert all(any(not set(p) & set(t) for p in PLANES) for t in combinations(range(8), 3))
+def test_fewest_meetings_of_a_pair_within_the_limit():
+    for shared in range(9):
+        meetings = sum(set(positions) <= set(range(shared)) for positions in LISTS)
+        assert (meetings >= MIN_MEETINGS) == (shared >= 5)
+
+
+def test_masked_links_connect_what_is_close():
+    rng = random.Random(5)
+    fixed = rng.getrandbits(40) << 24
+    for values in ({fixed | rng.getrandbits(24) for _ in range(300)}, {fixed ^ (1 << rng.randrange(24)) ^ (1 << rng.randrange(24)) for _ in range(90)}, {fixed, fixed ^ 1}, {fixed, fixed ^ 15}):
+        listed = sorted(values)
+        links = masked_links(np.array(listed, np.uint64))
+        assert len(links) < len(listed) and all((listed[i] ^ listed[j]).bit_count() <= 3 for i, j in links)
+        want = brute.components(listed, [(a, b) for a in listed for b in listed if (a ^ b).bit_count() <= 3])
+        assert brute.components(listed, [(listed[i], listed[j]) for i, j in links]) == want
 
 
 def test_fingerprint_counts_repeats():
@@ -25,7 +39,7 @@ def test_documents_against_brute_force(spark, sf_dir):
     assert rows(near_duplicates(docs)) == brute.near_duplicates([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_links_connect_what_is_close_in_sparse_and_dense_buckets(spark):
+def test_links_connect_what_is_close_in_short_and_long_lists(spark):
     rng = random.Random(3)
     values = {0, 2**64 - 1}
     for centre in (rng.getrandbits(64) for _ in range(4)):
@@ -38,10 +52,10 @@ def test_links_connect_what_is_close_in_sparse_and_dense_buckets(spark):
     signed = {v: v - 2**64 if v >= 2**63 else v for v in values}
     want = brute.components(signed.values(), [(signed[a], signed[b]) for a in values for b in values if (a ^ b).bit_count() <= 3])
     df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
-    for dense in (8192, 3):
+    for long_list in (64, 6, 2):
         got = dict.fromkeys(signed.values())
         got.update({v: v for v in got})
-        got.update({r.node: r.root for r in connected_components(fingerprint_links(df, dense)).collect()})
+        got.update({r.node: r.root for r in connected_components(fingerprint_links(df, long_list)).collect()})
         assert got == want
 
 
@@ -70,3 +84,13 @@ def test_one_row_of_each_component_stays_whatever_its_id(spark):
     got = sorted(map(tuple, keep_one_of_each(df).collect()), key=str)
     want = [(1, words("a")), (None, words("b")), (None, words("c")), (5, words("d")), (7, words("e")), (7, words("f")), (9, None)]
     assert got == sorted(want, key=str)
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    clash = ["_stays", "_row", "_row_key", "key", "stays", "row", "_text", "fp"]
+    docs = [(i, t, *(f"{c}{i}" for c in clash)) for i, t in [(1, "a b c d"), (2, "a b c d"), (3, "e f g h"), (None, None)]]
+    df = spark.createDataFrame(docs, ", ".join(["doc_id long", "text string", *(f"{c} string" for c in clash)]))
+    got = keep_one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((docs[0], docs[2], docs[3]), key=str)
+    assert keep_one_of_each(df.limit(0)).collect() == []
