@@ -1,7 +1,7 @@
 import math
 import random
 
-from biblink.llm.topk import exact_top_k
+from biblink.llm.topk import _intervals, exact_top_k
 
 
 def brute(vectors, k, divisor):
@@ -44,3 +44,16 @@ def test_few_candidates_and_none(spark):
     assert rows(exact_top_k(df)) == {(0, 1, 100, 2 << 20), (100, 1, 0, 2 << 20)}
     assert exact_top_k(df.limit(0)).collect() == []
     assert exact_top_k(df.where("vec_id = 0")).collect() == []
+
+
+def test_many_small_groups_and_few_bins(spark):
+    rng = random.Random(2)
+    vectors = [(i, [rng.randint(-40, 40) / 32 for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert rows(exact_top_k(df, 6, 15, bins=3, group_bytes=256)) == brute(vectors, 6, 15)
+
+
+def test_intervals_narrow_to_one_score():
+    for span in (1, 2, 7, 4096, 4097, 2 * 2**20 + 1, 2**63):
+        passes, bins = _intervals(span, 4096)
+        assert bins <= 4096 and bins**passes >= span
