@@ -7,11 +7,15 @@ full length each window is judged by one part of it, its minimizer: the part
 with the smallest hash.  Equal windows have equal minimizers at equal offsets,
 so a window whose minimizer isn't repeated can't be repeated either.
 
-Texts are gathered in chunks, stored once.  At each level a chunk sends the
-distinct hashes of its surviving parts, packed by hash range; a range's owner
-finds the hashes that two chunks have and answers each chunk with a bit map.
-A hash that is frequent anywhere comes once from each chunk, a range holds a
-bounded share of the corpus, and no row stands for a single window.
+Texts are gathered in chunks, exchanged once and stored in buckets.  At each
+level a chunk sends one row for each distinct hash of its surviving parts; rows
+of equal hashes meet in a sort that may spill, and those that another chunk has
+too go back to their chunks.  A hash that is frequent anywhere comes once from
+each chunk; rows grow with the text, and no task holds more than a chunk's.
+
+Hashes of parts only choose candidates.  The last level compares 128 bits, of
+two unlike combinations of the words' 64-bit hashes: at 10**14 windows a false
+match is expected less than once in 10**10 runs.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -28,9 +33,11 @@ from .common import as_bytes, cut, cut_bucketed, small_batches
 
 WINDOW_WORDS = 35
 CHUNK_BYTES = 4 << 20
-RANGE_BYTES = 2 << 20
+#: Text in one bucket of the stored chunks.
+BUCKET_BYTES = 128 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: For the second combination of the last level.
+_C, _D = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def level_lengths(window: int) -> list[int]:
@@ -38,27 +45,21 @@ def level_lengths(window: int) -> list[int]:
     return sorted({-(-window // 4), -(-window // 2), window})
 
 
-def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _pair(left: np.ndarray, right: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
     """Hash of two hashed parts, in order."""
-    x = (left ^ (left >> np.uint64(29))) * _A + (right ^ (right >> np.uint64(31))) * _B
+    x = (left ^ (left >> np.uint64(29))) * a + (right ^ (right >> np.uint64(31))) * b
     x ^= x >> np.uint64(32)
-    x *= _B
+    x *= b
     return x ^ (x >> np.uint64(29))
 
 
-def _extend(h: np.ndarray, n: int, to: int) -> np.ndarray:
-    """Hashes of ``n``-word parts to hashes of ``to``-word parts, ``n < to <= 2 n``; ends are left at the old value."""
-    out = h.copy()
-    by = to - n
-    if by < len(h):
-        out[:-by] = _pair(h[:-by], h[by:])
-    return out
-
-
-def _to_length(h: np.ndarray, n: int, to: int) -> np.ndarray:
+def _to_length(h: np.ndarray, n: int, to: int, a: np.uint64 = _A, b: np.uint64 = _B) -> np.ndarray:
+    """Hashes of ``n``-word parts to hashes of ``to``-word parts; those that would pass the end are of no use."""
     while n < to:
-        longer = min(2 * n, to)
-        h, n = _extend(h, n, longer), longer
+        by = min(n, to - n)
+        out = h.copy()
+        out[: len(h) - by] = _pair(h[: len(h) - by], h[by:], a, b)
+        h, n = out, n + by
     return h
 
 
@@ -68,60 +69,77 @@ def _smallest_of(h: np.ndarray, width: int) -> np.ndarray:
     at, have = np.arange(n), 1
     while have < width:
         by = min(have, width - have)
-        other = at[np.minimum(np.arange(n) + by, n - 1)]
-        at = np.where(h[at] <= h[other], at, other)
+        here, there = at[: n - by], at[by:]
+        at = np.r_[np.where(h[here] <= h[there], here, there), at[n - by :]]
         have += by
     return at
 
 
 class Chunk:
-    """Words, surviving windows and parts of one chunk, replayed from the answers so far."""
+    """Words, surviving windows and parts of one chunk, replayed from the answers so far.
+
+    Words that no surviving window has are left out after each level.  Parts that
+    would then span a gap lie in no surviving window and are never looked at.
+    """
 
     def __init__(self, texts: list[bytes | None], window: int):
         self.words = [(t or b"").split() for t in texts]
         self.window = window
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        total = int(self.lengths.sum())
-        self.h = np.fromiter(map(xxhash.xxh3_64_intdigest, (w for ws in self.words for w in ws)), np.uint64, total)
-        self.ends = np.repeat(np.cumsum(self.lengths), self.lengths)
-        self.alive = np.arange(total) + window <= self.ends
-        self.n = 1
-
-    def parts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Surviving windows' minimizers of ``n`` words: for each window the minimizer's
-        index, and the minimizers' hashes."""
-        self.h, self.n = _to_length(self.h, self.n, n), n
-        starts = np.flatnonzero(self.alive)
-        masked = self.h if n == 1 else np.where(np.arange(len(self.h)) + n <= self.ends, self.h, _NONE)
-        at = _smallest_of(masked, self.window - n + 1)[starts] if n < self.window else starts
-        places, which = np.unique(at, return_inverse=True) if n < self.window else (at, np.arange(len(at)))
-        self.starts, self.which = starts, which
-        return which, self.h[places]
-
-    def distinct(self, n: int) -> np.ndarray:
-        """Sorted distinct hashes of the level; remembers which are repeated within the chunk."""
-        _, hashes = self.parts(n)
-        values, self.back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        self.own = counts > 1
-        return values
-
-    def survive(self, elsewhere: np.ndarray) -> None:
-        """Keeps windows whose part is repeated here or, by the answer, in another chunk."""
-        repeated = (self.own | elsewhere)[self.back][self.which]
-        self.alive[self.starts[~repeated]] = False
-
-    def covered(self) -> np.ndarray:
+        self.total = int(self.lengths.sum())
+        self.word = np.fromiter(map(xxhash.xxh3_64_intdigest, (w for ws in self.words for w in ws)), np.uint64, self.total)
+        self.place = np.arange(self.total)
+        self.alive = self.place + window <= np.repeat(np.cumsum(self.lengths), self.lengths)
+        self.h, self.n = self.word, 1
+        self._compact()
+
+    def _covered(self) -> np.ndarray:
         edge = np.zeros(len(self.alive) + 1, np.int64)
         starts = np.flatnonzero(self.alive)
         edge[starts] += 1
         np.subtract.at(edge, starts + self.window, 1)
         return np.cumsum(edge)[:-1] > 0
 
+    def _compact(self) -> None:
+        keep = self._covered()
+        self.word, self.place, self.alive, self.h = self.word[keep], self.place[keep], self.alive[keep], self.h[keep]
 
-def _ranges(values: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each hash range begins among sorted values."""
-    limits = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
-    return np.r_[np.searchsorted(values, limits), len(values)]
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes of the level's parts, in order, and their second halves at the
+        last level (else zeros); remembers which are repeated within the chunk."""
+        self.h, self.n = _to_length(self.h, self.n, n), n
+        self.starts = np.flatnonzero(self.alive)
+        if n < self.window:
+            at = _smallest_of(self.h, self.window - n + 1)[self.starts]
+            used = np.zeros(len(self.h), bool)
+            used[at] = True
+            places, self.which = np.flatnonzero(used), (np.cumsum(used) - 1)[at]
+            hashes, second = self.h[places], np.zeros(len(places), np.uint64)
+            order = np.argsort(hashes, kind="stable")
+        else:
+            self.which = np.arange(len(self.starts))
+            hashes, second = self.h[self.starts], _to_length(self.word, 1, n, _C, _D)[self.starts]
+            order = np.lexsort((second, hashes))
+        hashes, second = hashes[order], second[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (second[1:] != second[:-1])
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+        self.own = np.diff(np.r_[np.flatnonzero(new), len(order)]) > 1
+        return hashes[new], second[new]
+
+    def survive(self, elsewhere: np.ndarray) -> None:
+        """Keeps windows whose part is repeated here or is among those, by number, that another chunk has."""
+        repeated = self.own.copy()
+        repeated[elsewhere] = True
+        self.alive[self.starts[~repeated[self.back][self.which]]] = False
+        self._compact()
+
+    def covered(self) -> np.ndarray:
+        """Of all words, which lie in a surviving window."""
+        gone = np.zeros(self.total, bool)
+        gone[self.place] = True
+        return gone
 
 
 def _pack(texts: list[bytes | None]) -> tuple[bytes, bytes]:
@@ -136,9 +154,9 @@ def _unpack(sizes: bytes, blob: bytes) -> list[bytes | None]:
     return [None if n < 0 else data[e - n : e] for n, e in zip(lens.tolist(), ends.tolist())]
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, buckets: int) -> DataFrame:
     """``(chunk, ids, sizes, blob)``: rows of one partition in order, about ``chunk_bytes`` of
-    text each, in buckets of ``chunk``: texts are written once and not moved again."""
+    text each, in buckets of ``chunk``: texts are exchanged once and not moved again."""
     source = docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("text"))
     kind = to_arrow_type(source.schema["doc_id"].dataType)
 
@@ -162,86 +180,56 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Da
     id_type = source.schema["doc_id"].dataType.simpleString()
     made = source.mapInArrow(gather, f"ids array<{id_type}>, sizes binary, blob binary")
     numbered = made.select(F.monotonically_increasing_id().alias("chunk"), "ids", "sizes", "blob")
-    return cut_bucketed(numbered, "chunk", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunks")
-
-
-def _replayed(row: dict, window: int, lengths: list[int], ranges: int, known: int) -> Chunk:
-    """The chunk after the first ``known`` levels, from its answers."""
-    chunk = Chunk(_unpack(row["sizes"], row["blob"]), window)
-    answers = {(a["level"], a["part"]): a["bits"] for a in row["answers"] or ()}
-    for level in range(known):
-        values = chunk.distinct(lengths[level])
-        begins = _ranges(values, ranges)
-        elsewhere = np.zeros(len(values), bool)
-        for part in np.flatnonzero(np.diff(begins)).tolist():
-            low, high = begins[part], begins[part + 1]
-            bits = np.frombuffer(answers[level, part], np.uint8)
-            elsewhere[low:high] = np.unpackbits(bits, count=int(high - low)).astype(bool)
-        chunk.survive(elsewhere)
-    return chunk
-
-
-def _sender(window, lengths, ranges, level):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                values = _replayed(row, window, lengths, ranges, level).distinct(lengths[level])
-                begins = _ranges(values, ranges)
-                full = np.flatnonzero(np.diff(begins)).tolist()
-                for at in range(0, len(full), 64):
-                    some = full[at : at + 64]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([values[begins[p] : begins[p + 1]].tobytes() for p in some], pa.binary())],
-                        ["part", "chunk", "hashes"],
-                    )
-
-    return run
-
-
-def _answers(group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    """For the chunks of one range, which of their hashes another chunk has too."""
-    arrays = [np.frombuffer(h, np.uint64) for _, _, h in group]
-    values = np.sort(np.concatenate(arrays))
-    shared = np.unique(values[1:][values[1:] == values[:-1]])
-    bits = []
-    for a in arrays:
-        at = np.searchsorted(shared, a)
-        hit = shared[np.minimum(at, len(shared) - 1)] == a if len(shared) else np.zeros(len(a), bool)
-        bits.append(np.packbits(hit).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([c for _, c, _ in group], pa.int64()), pa.array([p for p, _, _ in group], pa.int32()), pa.array(bits, pa.binary())], ["chunk", "part", "bits"])
+    # dealt as the buckets are: each task writes one file
+    return cut_bucketed(numbered.repartition(buckets, "chunk"), "chunk", buckets, "chunks")
 
 
-def _answerer(batches):
-    group: list = []
+def _replays(batches, window: int, lengths: list[int], known: int):
+    """Each row's chunk after the first ``known`` levels, from its answers, with its number and ids."""
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if group and group[0][0] != row[0]:
-                yield _answers(group)
-                group = []
-            group.append(row)
-    if group:
-        yield _answers(group)
+        answers = [batch.column(batch.schema.get_field_index(f"a{level}")) for level in range(known)]
+        numbers, sizes, blobs = (batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "sizes", "blob"))
+        ids = batch.column(batch.schema.get_field_index("ids"))
+        for i in range(batch.num_rows):
+            chunk = Chunk(_unpack(sizes[i].as_py(), blobs[i].as_py()), window)
+            for level in range(known):
+                chunk.distinct(lengths[level])
+                found = answers[level][i].values
+                chunk.survive(found.to_numpy() if found is not None else np.empty(0, np.int64))
+            yield numbers[i].as_py(), ids[i].values, chunk
+
+
+def _sender(window, lengths, level):
+    def run(batches):
+        for number, _, chunk in _replays(batches, window, lengths, level):
+            first, second = (x.view(np.int64) for x in chunk.distinct(lengths[level]))
+            for at in range(0, len(first), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                n = len(first[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first[part]), pa.array(second[part]), pa.array(np.full(n, number)), pa.array(np.arange(at, at + n, dtype=np.int32))], ["h", "h2", "chunk", "number"]
+                )
+
+    return run
 
 
-def _finisher(window, lengths, ranges, kind):
+def _finisher(window, lengths):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _replayed(row, window, lengths, ranges, len(lengths))
-                gone, at = chunk.covered(), 0
-                removed, kept = [], []
-                for words in chunk.words:
-                    mine = gone[at : at + len(words)]
-                    at += len(words)
-                    n = int(mine.sum())
-                    removed.append(n)
-                    kept.append(b" ".join(words if not n else [w for w, g in zip(words, mine.tolist()) if not g]))
-                for low in range(0, len(kept), 256):
-                    part = slice(low, low + 256)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["ids"][part], kind), pa.array(chunk.lengths[part]), pa.array(removed[part], pa.int64()), pa.array(kept[part], pa.binary()).cast(pa.string())],
-                        ["doc_id", "n_words", "n_removed", "kept"],
-                    )
+        for _, ids, chunk in _replays(batches, window, lengths, len(lengths)):
+            gone, at = chunk.covered(), 0
+            removed, kept = [], []
+            for words in chunk.words:
+                mine = gone[at : at + len(words)]
+                at += len(words)
+                n = int(mine.sum())
+                removed.append(n)
+                kept.append(b" ".join(words if not n else [w for w, g in zip(words, mine.tolist()) if not g]))
+            for low in range(0, len(kept), 256):
+                part = slice(low, low + 256)
+                yield pa.RecordBatch.from_arrays(
+                    [ids[part], pa.array(chunk.lengths[part]), pa.array(removed[part], pa.int64()), pa.array(kept[part], pa.binary()).cast(pa.string())],
+                    ["doc_id", "n_words", "n_removed", "kept"],
+                )
 
     return run
 
@@ -252,7 +240,6 @@ def remove_repeated(
     text_col: str = "text",
     window: int = WINDOW_WORDS,
     chunk_bytes: int = CHUNK_BYTES,
-    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)``, one row for each input row.
 
@@ -260,28 +247,24 @@ def remove_repeated(
     whose words also start anywhere else, in the same row included, are
     removed, and ``kept`` has the rest joined by one space.  Windows are judged
     on the input: every copy goes.  Null and empty texts have no words; a
-    repeated row is a copy of the other; an empty table gives no rows.
+    repeated row is a copy of the other; null and repeated ids stay as they
+    are; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     lengths = level_lengths(window)
-    kind = to_arrow_type(docs.schema[id_col].dataType)
     id_type = docs.schema[id_col].dataType.simpleString()
-    chunks = _chunks(docs, id_col, text_col, chunk_bytes)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
-
-    answers = None
-
-    def with_answers() -> DataFrame:
-        if answers is None:
-            return chunks.withColumn("answers", F.lit(None).cast("array<struct<level:int,part:int,bits:binary>>"))
-        mine = answers.groupBy("chunk").agg(F.collect_list(F.struct("level", "part", "bits")).alias("answers"))
-        return chunks.join(mine.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "sizes", "blob", "answers")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    known = _chunks(docs, id_col, text_col, chunk_bytes, buckets)
 
     for level in range(len(lengths)):
-        sent = with_answers().select("chunk", "sizes", "blob", "answers").mapInArrow(_sender(window, lengths, ranges, level), "part int, chunk long, hashes binary")
-        got = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_answerer, "chunk long, part int, bits binary")
-        got = cut(got.select("chunk", F.lit(level).alias("level"), "part", "bits"), f"answers-{level}")
-        answers = got if answers is None else answers.unionByName(got)
-    return with_answers().mapInArrow(_finisher(window, lengths, ranges, kind), f"doc_id {id_type}, n_words long, n_removed long, kept string")
+        sent = known.mapInArrow(_sender(window, lengths, level), "h long, h2 long, chunk long, number int")
+        by_hash = W.partitionBy("h", "h2") if level == len(lengths) - 1 else W.partitionBy("h")
+        shared = sent.withColumn("n", F.count("*").over(by_hash)).where("n > 1").select("chunk", "number")
+        answer = shared.groupBy(F.col("chunk").alias("answered")).agg(F.collect_list("number").alias(f"a{level}"))
+        if level < len(lengths) - 1:
+            # read by every later level; the last one's is read once
+            answer = cut(answer, f"answers-{level}")
+        known = known.join(answer.hint("shuffle_hash"), F.col("chunk") == F.col("answered"), "left").drop("answered")
+    return known.mapInArrow(_finisher(window, lengths), f"doc_id {id_type}, n_words long, n_removed long, kept string")

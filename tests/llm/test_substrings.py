@@ -22,7 +22,7 @@ def test_documents_against_brute_force(spark, sf_dir):
     want = brute.substrings(plain)
     assert any(r[2] for r in want)
     assert digest(remove_repeated(docs)) == want
-    assert digest(remove_repeated(docs.repartition(5), chunk_bytes=20_000, range_bytes=30_000)) == want
+    assert digest(remove_repeated(docs.repartition(5), chunk_bytes=20_000)) == want
 
 
 def test_small_windows_nulls_and_repeats(spark):
