@@ -79,19 +79,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
-def _byte(col, position: int):
-    return F.shiftrightunsigned(col, 8 * position).bitwiseAND(F.lit(255))
+def _byte(col, position):
+    """The byte at a position, given as a number or as a column."""
+    shift = F.lit(8 * position) if isinstance(position, int) else position * 8
+    return F.call_function("shiftrightunsigned", col, shift).bitwiseAND(F.lit(255))
 
 
-def _entries(fp, lists=LISTS):
-    """The lists that a fingerprint is in: the choice of positions above its four bytes."""
-    keys = []
-    for number, positions in enumerate(lists):
-        key = F.lit(number).cast("long")
-        for p in positions:
-            key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, p))
-        keys.append(key)
-    return F.array(*keys)
+def _listed(values, number):
+    """The value at ``number``, a column of positions from 0."""
+    return F.element_at(F.array(*map(F.lit, values)), number + 1)
+
+
+def _entries(fps: DataFrame) -> DataFrame:
+    """``(list, fp)``: the lists that each fingerprint is in, the choice of positions above its four bytes."""
+    each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(LISTS) - 1))).alias("choice"))
+    key = F.col("choice").cast("long")
+    for place in range(LIST_BYTES):
+        key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), _listed([positions[place] for positions in LISTS], F.col("choice"))))
+    return each.select(key.alias("list"), "fp")
 
 
 def _with_sizes(entries: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -108,28 +113,24 @@ def _meetings(members: DataFrame, by: list[str]) -> DataFrame:
 def fingerprint_links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """``fps(fp long)``, distinct, to ``(a, b)``: links that connect every two
     fingerprints at ``MAX_BITS`` or fewer differing bits."""
-    index = fps.select(F.explode(_entries(F.col("fp"))).alias("list"), "fp")
-    members = _with_sizes(index, ["list"], "lists")
+    members = _with_sizes(_entries(fps), ["list"], "lists")
     met = _meetings(members.where(F.col("n") <= long_list), ["list"]).select("a", "b")
 
     # a longer list by each position that it doesn't fix, and the byte there
-    free = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in positions]) for positions in LISTS])
-    long_ones = members.where(F.col("n") > long_list).select("list", "fp", F.explode(F.element_at(free, (F.shiftright("list", 32) + 1).cast("int"))).alias("p"))
-    byte_at = F.element_at(F.array(*[_byte(F.col("fp"), p) for p in range(8)]), F.col("p") + 1)
-    finer = _with_sizes(long_ones.select("list", "fp", "p", byte_at.alias("byte")), ["list", "p", "byte"], "finer")
+    choice = F.shiftright("list", 32).cast("int")
+    free = _listed([[p for p in range(8) if p not in positions] for positions in LISTS], choice)
+    long_ones = members.where(F.col("n") > long_list).select("list", "fp", F.explode(free).alias("p"))
+    finer = _with_sizes(long_ones.select("list", "fp", "p", _byte(F.col("fp"), F.col("p")).alias("byte")), ["list", "p", "byte"], "finer")
     again = _meetings(finer.where(F.col("n") <= long_list), ["list", "p", "byte"])
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    position_free = F.element_at(free, (F.shiftright("list", 32) + 1).cast("int"))
-    equal_at = lambda p: F.element_at(F.array(*[_byte(diff, i) == 0 for i in range(8)]), p + 1)
-    once = ~F.exists(position_free, lambda p: (p < F.col("p")) & equal_at(p))
+    once = ~F.exists(free, lambda p: (p < F.col("p")) & (_byte(diff, p) == 0))
     met = met.unionByName(again.where(once).select("a", "b"))
 
     tallied = met.groupBy("a", "b").agg(F.count("*").alias("meetings")).where(F.col("meetings") >= MIN_MEETINGS)
     links = tallied.where(F.bit_count(diff) <= MAX_BITS).select("a", "b")
 
     # the same five bytes are reached from several lists; the one without the last position stands for all
-    last = F.array(*[F.lit(max(positions)) for positions in LISTS])
-    packed = finer.where((F.col("n") > long_list) & (F.col("p") > F.element_at(last, (F.shiftright("list", 32) + 1).cast("int"))))
+    packed = finer.where((F.col("n") > long_list) & (F.col("p") > _listed([max(positions) for positions in LISTS], choice)))
     dealt = packed.select("list", "p", "byte", "fp").repartition("list", "p", "byte").sortWithinPartitions("list", "p", "byte")
     return links.unionByName(dealt.mapInArrow(_long_list_links, "a long, b long"))
 
