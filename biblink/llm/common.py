@@ -4,7 +4,8 @@ Conventions held by every operator of this subpackage:
 
 * input columns may be null, input tables may be empty, rows may repeat, and
   extra columns may have any name: operators select the columns they need at
-  the start and use their own names from there on;
+  the start and use their own names from there on; where whole rows come back,
+  their other columns travel as one struct with fields named by place;
 * text is processed whole, as UTF-8 bytes or by JVM functions;
 * intermediate results are cut by writing Parquet in the shared folder that
   the session names in ``spark.checkpoint.dir``.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _cut_number = itertools.count()
@@ -45,12 +46,32 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER_WORDS).split() if text else []
 
 
+def column(name: str) -> Column:
+    """A column by its name as it is, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A row's columns as one struct, its fields named by place: no name of theirs can clash."""
+    cells = [column(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without]
+    return F.struct(F.lit(True).alias("row"), *cells)
+
+
+def unpacked(df: DataFrame, row: Column, instead: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of ``df`` out of a packed row, some replaced by others."""
+    instead = instead or {}
+    return [(instead[c] if c in instead else row.getField(f"c{i}")).alias(c) for i, c in enumerate(df.columns)]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and
+    all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cuts-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -91,7 +112,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def as_bytes(column) -> F.Column:
     """Text for a Python worker: the UTF-8 bytes, without a decoding step."""
-    return F.col(column).cast("binary")
+    return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
 def id_bucket(id_col: str, modulus: int):
@@ -101,9 +122,3 @@ def id_bucket(id_col: str, modulus: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def total_bytes(df: DataFrame, column: str) -> int:
-    """Bytes of a text column, for a check before a broadcast."""
-    row = df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()
-    return int(row["n"] or 0)

@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
 
-from .common import as_bytes, cut, id_bucket, small_batches
+from .common import column, cut, id_bucket, packed, small_batches, unpacked
 from .linear import Rows, fit, sigmoid
 from .toxicity import HELD_OUT_MODULUS, HELD_OUT_REMAINDER, sample_rows
 
@@ -105,19 +105,23 @@ def train_model(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
     return train(shapes, np.array([y for _, y in rows], float))
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """``(row, evidence)``: each row whole, as a struct, with its evidence."""
+def with_evidence(docs: DataFrame, model: Model, text_col: str, row: Column, keep_text: bool) -> DataFrame:
+    """``(row, evidence)``, with ``keep_text`` also ``text``: what is to stay of each row, and its
+    evidence.  Each text is read once and goes to the worker once."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    source = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), as_bytes(text_col).alias("text"))
+    source = docs.select(row.alias("row"), column(text_col).alias("text"))
 
     def run(batches):
         reader = Model(**shared.value)
         for batch in batches:
-            shapes = np.array([shape(t) for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, -1)
+            shapes = np.array([shape(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], float).reshape(batch.num_rows, -1)
             values = reader.evidence(shapes) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["row", "evidence"])
+            columns = [batch.column(0), pa.array(values, pa.float64()), *([batch.column(1)] if keep_text else [])]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, evidence double")
+    names = ["row", "evidence", *(["text"] if keep_text else [])]
+    out = T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("evidence", T.DoubleType()), *([T.StructField("text", T.StringType())] if keep_text else [])])
+    return source.mapInArrow(run, out)
 
 
 def _strength(groups: DataFrame, parent: str) -> float:
@@ -156,37 +160,37 @@ def path_posteriors(evidence: DataFrame, base: float) -> DataFrame:
     return cut(placed.select("host", "path", "host_posterior", posterior.alias("path_posterior")), "posteriors")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, only_ids: bool) -> DataFrame:
-    """``(row, evidence, host_posterior, path_posterior, score)``."""
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, row: Column, keep_text: bool) -> DataFrame:
+    """``(row, evidence, host_posterior, path_posterior, score)`` and, with ``keep_text``, ``text``;
+    ``row.it`` is the given row.  The texts are judged once: what comes of it is
+    stored and read twice."""
     model = train_model(docs, labels, id_col=id_col, text_col=text_col)
-    columns = [id_col, text_col, host_col, path_col] if only_ids else docs.columns
-    read = with_evidence(docs.select(*dict.fromkeys(columns)), model, text_col)
-    if only_ids:
-        # the text has done its work; what is left is narrow and read twice
-        read = cut(read.select(F.struct(*[F.col("row").getField(c).alias(c) for c in dict.fromkeys([id_col, host_col, path_col])]).alias("row"), "evidence"), "evidence")
-    host, path = F.col("row").getField(host_col).cast("string"), F.col("row").getField(path_col).cast("string")
-    posteriors = path_posteriors(read.select(host.alias("host"), path.alias("path"), "evidence"), model.base)
-    joined = read.join(posteriors, host.eqNullSafe(F.col("host")) & path.eqNullSafe(F.col("path")))
+    site = lambda name: column(name).cast("string")
+    read = cut(with_evidence(docs, model, text_col, F.struct(row.alias("it"), site(host_col).alias("host"), site(path_col).alias("path")), keep_text), "evidence")
+    posteriors = path_posteriors(read.select("row.host", "row.path", "evidence"), model.base)
+    joined = read.join(posteriors, F.col("row.host").eqNullSafe(F.col("host")) & F.col("row.path").eqNullSafe(F.col("path")))
     score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior")))))
-    return joined.select("row", "evidence", "host_posterior", "path_posterior", score.alias("score"))
+    return joined.select(F.col("row.it").alias("row"), *(["text"] if keep_text else []), "evidence", "host_posterior", "path_posterior", score.alias("score"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, evidence, host_posterior, path_posterior, score, keep)``, one row for each input row.
 
     Labels are learned from ids whose crc32 leaves a remainder other than 0 by
-    5.  Null and empty texts are judged as texts without words; a null host or
-    path is a site of its own; without labels of both kinds there is no
-    evidence and every score is the prior.
+    5; an id labelled more than once has its highest label.  Null and empty
+    texts are judged as texts without words; a null host or path is a site of
+    its own; repeated rows are judged alike, each one of its site's rows;
+    without labels of both kinds there is no evidence and every score is the
+    prior; an empty table gives no rows.  Other columns are not read.
     """
-    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, True)
-    doc_id = F.col("row").getField(id_col)
-    return judged.select(doc_id.alias("doc_id"), "evidence", "host_posterior", "path_posterior", "score").select(
+    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, column(id_col), False)
+    return judged.select(F.col("row").alias("doc_id"), "evidence", "host_posterior", "path_posterior", "score").select(
         "doc_id", (id_bucket("doc_id", HELD_OUT_MODULUS) == HELD_OUT_REMAINDER).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("keep")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that are kept, with the columns they came with."""
-    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, False)
-    return judged.where(F.col("score") >= threshold).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The rows that are kept, with the columns they came with, whatever their names; nulls,
+    repeats and empty tables as in :func:`quality`."""
+    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, packed(docs, (text_col,)), True)
+    return judged.where(F.col("score") >= threshold).select(*unpacked(docs, F.col("row"), {text_col: F.col("text")}))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, as_bytes, cut, small_batches
+from .common import LOWER_ASCII, as_bytes, cut, packed, small_batches, unpacked
 from .components import connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -242,6 +242,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stays = cut(first.select(F.col("first.key").alias("stays")), "stays")
     # a plain equality, so that the join and the removal of repeats share one exchange of the texts;
     # the row is one column, so that its own columns may have any name
-    whole = docs.select(key.alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    whole = docs.select(key.alias("key"), packed(docs).alias("row"))
     kept = whole.join(stays, F.col("key") == F.col("stays"), "left_semi").dropDuplicates(["key"])
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.select(*unpacked(docs, F.col("row")))
