@@ -16,18 +16,26 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER_WORDS, as_bytes, cut, lower_words, small_batches, total_bytes
+from .common import LOWER_WORDS, column, cut, lower_words, packed, small_batches, unpacked
 
 WINDOW_WORDS = 10
 SHARD_WORDS = 1_000_000
 SAMPLE = 8
-#: Most bytes of benchmark text that are broadcast at once; a larger benchmark
-#: is searched in several passes over the documents.
-BROADCAST_BYTES = 32 << 20
+#: Benchmark words, about, that are broadcast at once: 40 bytes of windows and 8 of items for
+#: each, and 150 at most of vocabulary, so some 50 MB in the driver and in a worker.  A
+#: larger benchmark is searched in several passes over the documents.
+PART_WORDS = 250_000
+#: Windows in one piece of an item; pieces are dealt to the parts.
+PIECE_WINDOWS = 4096
+#: The words of a lower-cased text, as a pattern.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -124,19 +132,27 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of the benchmark items as word numbers, by length, with the items that have them."""
+    """Windows of the benchmark items as word numbers, by length, with the items that have
+    them; all but the vocabulary in flat arrays."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW_WORDS):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], dict] = {}
-        for item_id, text in items:
-            words = [self.number.setdefault(w, len(self.number) + 2) for w in lower_words(text)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), {})[item_id] = None
-        self.by_length: dict[int, tuple[np.ndarray, list[list]]] = {}
-        for n in sorted({len(p) for p in found}):
-            same = [p for p in found if len(p) == n]
-            self.by_length[n] = np.array(same, np.int64), [list(found[p]) for p in same]
+        self.item_ids = [item_id for item_id, _ in items]
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for place, (_, text) in enumerate(items):
+            words = np.array([self.number.setdefault(w, len(self.number) + 2) for w in lower_words(text)], np.int32)
+            if len(words):
+                n = min(window, len(words))
+                found = np.lib.stride_tricks.sliding_window_view(words, n)
+                rows.setdefault(n, []).append(found)
+                owners.setdefault(n, []).append(np.full(len(found), place, np.int32))
+        #: by length: distinct windows, where each one's items begin, and the items' places
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(rows):
+            windows, which = np.unique(np.concatenate(rows[n]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owners[n])], 1), axis=0)
+            self.by_length[n] = windows, np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1].astype(np.int32)
         self.shortest = min(self.by_length, default=0)
 
     @classmethod
@@ -168,7 +184,7 @@ def search_shard(docs: list[bytes | None], phrases: Phrases):
     if texts:
         begins = np.cumsum([0, *(len(t) for t in texts)])
         index = FMIndex(np.concatenate(texts), len(phrases.number) + 2)
-        for n, (patterns, having) in phrases.by_length.items():
+        for n, (patterns, begin, having) in phrases.by_length.items():
             low, high = index.search(patterns)
             hit = np.flatnonzero(high > low)
             many = (high - low)[hit]
@@ -178,7 +194,7 @@ def search_shard(docs: list[bytes | None], phrases: Phrases):
             for which, place, run in zip(np.repeat(hit, many).tolist(), places.tolist(), runs.tolist()):
                 start = at[run] + place - int(begins[run])
                 spans[owner[run]].append((start, start + n))
-                items[owner[run]].update(having[which])
+                items[owner[run]].update(phrases.item_ids[i] for i in having[begin[which] : begin[which + 1]])
     return counts, [merge_spans(s) for s in spans], items
 
 
@@ -210,10 +226,10 @@ def _shards(batches, text_column: int, shard_words: int):
     """Row groups whose texts hold about ``shard_words`` words (a word and its separator: 6 bytes)."""
     rows, size = [], 0
     for batch in batches:
-        texts = batch.column(text_column).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
         start = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
+        for i, length in enumerate(lengths):
+            size += length
             if size >= 6 * shard_words:
                 rows.append(batch.slice(start, i + 1 - start))
                 yield pa.Table.from_batches(rows).combine_chunks()
@@ -227,30 +243,47 @@ def _shards(batches, text_column: int, shard_words: int):
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
+_SPANS_TYPE = T.ArrayType(T.StructType().add("s", "long").add("e", "long"))
+
+
 def _spans_column(spans) -> pa.Array:
     return pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], _SPANS)
 
 
-def _searches(rows: DataFrame, items: DataFrame, window: int, shard_words: int, broadcast_bytes: int):
-    """One search of ``rows(row, text)`` for each part of the benchmark that is small enough to broadcast."""
-    spark = rows.sparkSession
-    item_type = items.schema["item_id"].dataType
-    item_arrow = to_arrow_type(item_type)
-    parts = max(1, -(-total_bytes(items, "text") // broadcast_bytes))
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """``(item_id, at, n, text)``: an item's words in pieces that overlap by a window less one
+    word, so that each window lies in one of them."""
+    words = F.regexp_extract_all(F.translate(F.coalesce(column(text_col), F.lit("")), _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
+    items = benchmark.select(column(item_col).alias("item_id"), words.alias("words")).where(F.size("words") > 0)
+    at = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE_WINDOWS))
+    cut_up = items.select("item_id", "words", F.explode(at).alias("at")).select("item_id", "at", F.slice("words", F.col("at") + 1, F.lit(PIECE_WINDOWS + window - 1)).alias("words"))
+    return cut(cut_up.select("item_id", "at", F.size("words").alias("n"), F.array_join("words", " ").alias("text")), "pieces")
+
+
+def _shared_parts(pieces: DataFrame, window: int, part_words: int):
+    """The phrases of each part of the benchmark, broadcast; one part without phrases if it is empty."""
+    spark = pieces.sparkSession
+    parts = max(1, -(-int(pieces.agg(F.sum("n").alias("n")).first()["n"] or 0) // part_words))
     for part in range(parts):
-        chosen = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        phrases = Phrases([(r["item_id"], bytes(r["text"]) if r["text"] is not None else None) for r in chosen.collect()], window)
-        shared = spark.sparkContext.broadcast(vars(phrases))
+        chosen = pieces if parts == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "at"), F.lit(parts)) == part)
+        # about part_words words, as checked above
+        phrases = Phrases([(r["item_id"], r["text"].encode()) for r in chosen.select("item_id", "text").collect()], window)
+        yield spark.sparkContext.broadcast(vars(phrases))
+
+
+def _search(rows: DataFrame, item_type: T.DataType, shared, shard_words: int) -> DataFrame:
+    """``rows(row, text)`` to ``(row, n_words, spans, items)`` for one part of the benchmark."""
+    item_arrow = to_arrow_type(item_type)
 
-        def run(batches, shared=shared):
-            phrases = Phrases.of(shared.value)
-            for shard in _shards(batches, 1, shard_words):
-                counts, spans, hits = search_shard(shard.column(1).to_pylist(), phrases)
-                columns = [shard.column(0).combine_chunks(), pa.array(counts, pa.int64()), _spans_column(spans), pa.array([[i for i in x if i is not None] for x in hits], pa.list_(item_arrow))]
-                yield from pa.Table.from_arrays(columns, ["row", "n_words", "spans", "items"]).to_batches()
+    def run(batches):
+        phrases = Phrases.of(shared.value)
+        for shard in _shards(batches, 1, shard_words):
+            counts, spans, hits = search_shard(shard.column(1).cast(pa.binary()).to_pylist(), phrases)
+            columns = [shard.column(0).combine_chunks(), pa.array(counts, pa.int64()), _spans_column(spans), pa.array([[i for i in x if i is not None] for x in hits], pa.list_(item_arrow))]
+            yield from pa.Table.from_arrays(columns, ["row", "n_words", "spans", "items"]).to_batches()
 
-        row_type = rows.schema["row"].dataType.simpleString()
-        yield rows.mapInArrow(run, f"row {row_type}, n_words long, spans array<struct<s:long,e:long>>, items array<{item_type.simpleString()}>")
+    out = T.StructType().add("row", rows.schema["row"].dataType).add("n_words", "long").add("spans", _SPANS_TYPE).add("items", T.ArrayType(item_type))
+    return rows.mapInArrow(run, out)
 
 
 def _merge_parts(found: list[DataFrame]) -> DataFrame:
@@ -276,23 +309,25 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW_WORDS,
     shard_words: int = SHARD_WORDS,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    part_words: int = PART_WORDS,
 ) -> DataFrame:
     """``(doc_id, n_words, spans, items)``, one row for each document row.
 
     ``spans`` are the word spans ``[s, e)`` inside occurrences, merged (those of
-    different parts of a very large benchmark may overlap); ``items`` the items
+    different parts of a large benchmark may overlap); ``items`` the items
     with an occurring window, null item ids left out.  Null texts have no words;
-    repeated rows each get a row; an empty benchmark gives no spans.
+    repeated rows each get a row; an empty benchmark gives no spans, an empty
+    table no rows.  Columns other than those named are not read.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).alias("item_id"), as_bytes(item_text_col).alias("text"))
-    source = docs.select(F.col(id_col).alias("row"), as_bytes(text_col).alias("text"))
-    if total_bytes(items, "text") <= broadcast_bytes:
-        (found,) = _searches(source, items, window, shard_words, broadcast_bytes)
-        return found.withColumnRenamed("row", "doc_id")
+    pieces = _pieces(benchmark, item_col, item_text_col, window)
+    item_type = benchmark.schema[item_col].dataType
+    source = docs.select(column(id_col).alias("row"), column(text_col).alias("text"))
+    parts = list(_shared_parts(pieces, window, part_words))
+    if len(parts) == 1:
+        return _search(source, item_type, parts[0], shard_words).withColumnRenamed("row", "doc_id")
     numbered = cut(source.select(F.struct(F.monotonically_increasing_id().alias("at"), F.col("row").alias("doc_id")).alias("row"), "text"), "rows")
-    found = _merge_parts(list(_searches(numbered, items, window, shard_words, broadcast_bytes)))
+    found = _merge_parts([_search(numbered, item_type, part, shard_words) for part in parts])
     return found.select("row.doc_id", "n_words", "spans", "items")
 
 
@@ -318,6 +353,12 @@ def contamination_report(found: DataFrame) -> DataFrame:
     )
 
 
+def _cleaned(texts: pa.Array, spans) -> pa.Array:
+    """Texts without the words of their spans; null stays null."""
+    found = [None if t is None else remove_spans(t, s) for t, s in zip(texts.cast(pa.binary()).to_pylist(), spans)]
+    return pa.array(found, pa.binary()).cast(pa.string())
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -326,31 +367,38 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = WINDOW_WORDS,
     shard_words: int = SHARD_WORDS,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    part_words: int = PART_WORDS,
 ) -> DataFrame:
-    """The same rows and columns, with the words of every occurrence removed from
-    the text.  A null text stays null; a text that is all benchmark becomes empty
-    but for its separators."""
-    small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).alias("item_id"), as_bytes(item_text_col).alias("text"))
-    names, schema = docs.columns, docs.schema
-    kept = F.struct(*[F.col(c) for c in names if c != text_col], F.lit(True).alias("_row"))
+    """The same rows and columns, whatever the names of the others, with the words of every
+    occurrence removed from the text.
 
-    def remover(batches):
+    A null text stays null; a text that is all benchmark becomes empty but for
+    its separators; repeated rows are cleaned alike; an empty benchmark changes
+    nothing, an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    pieces = _pieces(benchmark, item_col, item_text_col, window)
+    item_type = benchmark.schema[item_col].dataType
+    source = docs.select(packed(docs, (text_col,)).alias("row"), column(text_col).alias("text"))
+    out = T.StructType().add("row", source.schema["row"].dataType).add("text", "string")
+    parts = list(_shared_parts(pieces, window, part_words))
+
+    def search_and_clean(batches):
+        phrases = Phrases.of(parts[0].value)
+        for shard in _shards(batches, 1, shard_words):
+            texts = shard.column(1).combine_chunks()
+            _, spans, _ = search_shard(texts.cast(pa.binary()).to_pylist(), phrases)
+            yield from pa.Table.from_arrays([shard.column(0).combine_chunks(), _cleaned(texts, spans)], ["row", "text"]).to_batches()
+
+    def clean(batches):
         for batch in batches:
-            row, text, spans = (batch.column(i).to_pylist() if i else batch.column(0) for i in range(3))
-            cleaned = [None if t is None else remove_spans(t, merge_spans([(x["s"], x["e"]) for x in s or ()])) for t, s in zip(text, spans)]
-            yield pa.RecordBatch.from_arrays([row, pa.array(cleaned, pa.binary()).cast(pa.string())], ["row", "text"])
-
-    # the text rides along as part of the row that comes back from the search
-    source = docs.select(F.struct(kept.alias("kept"), as_bytes(text_col).alias("text")).alias("row"), as_bytes(text_col).alias("text"))
-    if total_bytes(items, "text") <= broadcast_bytes:
-        (found,) = _searches(source, items, window, shard_words, broadcast_bytes)
-        found = found.select("row.kept", "row.text", "spans")
+            spans = [merge_spans([(x["s"], x["e"]) for x in s or ()]) for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _cleaned(batch.column(1), spans)], ["row", "text"])
+
+    if len(parts) == 1:
+        cleaned = source.mapInArrow(search_and_clean, out)
     else:
-        source = cut(source.select(F.monotonically_increasing_id().alias("row"), F.col("row").alias("whole"), "text"), "rows")
-        spans = _merge_parts(list(_searches(source.select("row", "text"), items, window, shard_words, broadcast_bytes)))
-        found = source.join(spans, "row").select("whole.kept", "whole.text", "spans")
-    kept_type = found.schema["kept"].dataType.simpleString()
-    cleaned = found.mapInArrow(remover, f"row {kept_type}, text string")
-    return cleaned.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).cast(schema[c].dataType).alias(c) for c in names])
+        numbered = cut(source.select(F.monotonically_increasing_id().alias("row"), F.col("row").alias("cells"), "text"), "rows")
+        spans = _merge_parts([_search(numbered.select("row", "text"), item_type, part, shard_words) for part in parts])
+        cleaned = numbered.join(spans, "row").select("cells", "text", "spans").mapInArrow(clean, out)
+    return cleaned.select(*unpacked(docs, F.col("row"), {text_col: F.col("text")}))

@@ -1,7 +1,8 @@
 import random
 
 import numpy as np
-from biblink.llm.decontaminate import FMIndex, contamination, contamination_report, decontaminate, suffix_array
+from biblink.llm import decontaminate as decontamination
+from biblink.llm.decontaminate import FMIndex, Phrases, contamination, contamination_report, decontaminate, suffix_array
 
 from . import brute
 
@@ -47,9 +48,9 @@ def test_parts_of_a_large_benchmark_agree(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute.contamination(docs, items))
     assert rows(contamination_report(contamination(d, b))) == want
-    assert rows(contamination_report(contamination(d, b, broadcast_bytes=100))) == want
-    for limit in (1 << 20, 100):
-        clean = decontaminate(d, b, broadcast_bytes=limit)
+    assert rows(contamination_report(contamination(d, b, part_words=20))) == want
+    for limit in (1 << 20, 20):
+        clean = decontaminate(d, b, part_words=limit)
         assert clean.columns == d.columns and clean.count() == len(docs)
         hits = {r[0]: r for r in want}
         for r in clean.collect():
@@ -64,3 +65,26 @@ def test_empty_tables(spark):
     assert all(not r.contaminated for r in contamination_report(contamination(d, b.limit(0))).collect())
     assert contamination_report(contamination(d.limit(0), b)).collect() == []
     assert rows(decontaminate(d.where("text is not null"), b.limit(0))) == sorted((i, t) for i, t in docs if t is not None)
+
+
+def test_pieces_hold_every_window_and_parts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE_WINDOWS", 7)
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([1, 9, 10, 11, 25, 60])))) for i in range(30)]
+    docs = [(i, " ".join(rng.choice("abcde") for _ in range(400))) for i in range(6)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pieces = decontamination._pieces(b, "item_id", "text", 10)
+    parts = [Phrases.of(p.value) for p in decontamination._shared_parts(pieces, 10, 100)]
+    assert len(parts) > 3 and all(sum(len(w) for w, _, _ in p.by_length.values()) < 300 for p in parts)
+    want = sorted(brute.contamination(docs, items))
+    for part_words in (10**6, 100):
+        assert rows(contamination_report(contamination(d, b, part_words=part_words))) == want
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ["row", "_row", "kept", "spans", "c0", "a.b", "Text 2"]
+    d = spark.createDataFrame([("p", "x", *range(7)), (None, "y", *range(7))], ", ".join(["text string", "doc_id string", *(f"`{n}` int" for n in names)]))
+    b = spark.createDataFrame([(1, "P")], "item_id long, text string")
+    for part_words in (100, 1):
+        got = decontaminate(d, b, part_words=part_words)
+        assert got.columns == d.columns and sorted(map(tuple, got.collect()), key=str) == [("", "x", *range(7)), (None, "y", *range(7))]
