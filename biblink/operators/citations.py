@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.spans import matches
 from ..functions.text import fold_superscripts, title_case
 
 SPAN = "array<struct<start:int,end:int,spec:string,bracketed:boolean>>"
@@ -32,22 +33,6 @@ UNITS = (
 MAX_RANGE = 8
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<start,end,match>>``, in code points: the stretches
-    between matches and the matches add up to their positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.zip_with(found, F.split(text, pattern, -1), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"))), lambda p: p["m"].isNotNull())
-    kind = "array<struct<start:int,end:int,match:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(a, p):
-        start = a["at"] + p["gap"]
-        end = start + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("match")))).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
-
-
 def _char(text: Column, at: Column) -> Column:
     """The character at a position from 0; empty outside."""
     return F.when(at >= 0, F.substr(text, at + 1, F.lit(1))).otherwise("")

@@ -54,3 +54,14 @@ def test_word_superscripts_merge_across_runs(spark):
     df = spark.createDataFrame([("word1,2 on3", runs)], "t string, r array<struct<text:string,superscript:boolean>>")
     got = df.select(cite.run_spans(F.col("r"), F.col("t")).alias("s")).first().s
     assert [(s.start, s.end, s.spec) for s in got] == [(4, 7, "1,2"), (10, 11, "3")]
+
+
+def test_positions_of_very_many_matches(spark):
+    import re
+
+    from biblink.functions.spans import matches
+
+    texts = [None, "", "ab12é3 45", "\U0001f600 7 " * 1500, "x" * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string")
+    got = {r.n: [tuple(m) for m in r.found] for r in df.select("n", matches(F.col("text"), r"\d+").alias("found")).collect()}
+    assert got == {i: [(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", t or "")] for i, t in enumerate(texts)}
