@@ -63,6 +63,13 @@ def unpacked(df: DataFrame, row: Column, instead: dict[str, Column] | None = Non
     return [(instead[c] if c in instead else row.getField(f"c{i}")).alias(c) for i, c in enumerate(df.columns)]
 
 
+def row_key(row_id: Column, text: Column) -> Column:
+    """Equal for rows of the same id and text; nulls equal each other only."""
+    name = row_id.cast("string")
+    known = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
+    return F.md5(F.concat(known, F.coalesce(F.concat(F.lit("+"), text), F.lit("-"))).cast("binary"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set and
     all run on this machine."""

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..functions.spans import matches, scan
+from .common import column, cut, packed, row_key, unpacked
 
 # The base patterns, kinds in their listed order.  The letter
 # classes spell out either case so that only ASCII letters match.
@@ -31,26 +32,14 @@ EXAMPLE_REPOS = 100
 #: A value with fewer distinct characters isn't live-looking.
 MIN_DISTINCT = 10
 
-SPAN = "struct<start:int,kind:int,end:int,value:string>"
+#: A text without a match of this has no candidate.
+ANY = "|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, OPAQUE))
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
-    """All leftmost matches with positions in code points.  Splitting by the pattern
-    gives the stretches between matches, so lengths add up to the positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["before"])
-        end = start + F.length(pair["match"])
-        value = F.regexp_extract(pair["match"], pattern, group)
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    pairs = F.zip_with(found, between, lambda m, b: F.struct(b.alias("before"), m.alias("match")))
-    spans = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), zero, step, lambda a: a["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    """All leftmost matches of one kind, with the value that stands in a group."""
+    span = lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), F.regexp_extract(m["match"], pattern, group).alias("value"))
+    return F.transform(matches(text, pattern), span)
 
 
 def candidate_spans(text: Column) -> tuple[Column, Column]:
@@ -68,19 +57,18 @@ def _distinct_characters(value: Column) -> Column:
 def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
     """``(row, doc_id, key, base, spans)``: spans are all of a row, each with the verdict
     on its value: ``n_repos``, ``n_owners``, ``example``, ``live``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(
-        F.col(id_col).alias("doc_id"),
-        text.alias("text"),
-        F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
+        column(id_col).alias("doc_id"),
+        F.coalesce(column(text_col), F.lit("")).alias("text"),
+        F.coalesce(column(repo_col).cast("string"), F.lit("")).alias("repo"),
+        F.coalesce(column(owner_col).cast("string"), F.lit("")).alias("owner"),
     )
     base, more = candidate_spans(F.col("text"))
     hashed = lambda spans: F.transform(
         spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"].cast("binary"), 256).alias("h"), _distinct_characters(s["value"]).alias("distinct"))
     )
     rows = cut(
-        source.select(F.monotonically_increasing_id().alias("row"), "doc_id", row_key("doc_id", "text").alias("key"), "repo", "owner", hashed(base).alias("base"), hashed(more).alias("more")),
+        source.select(F.monotonically_increasing_id().alias("row"), "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "repo", "owner", hashed(base).alias("base"), hashed(more).alias("more")),
         "spans",
     )
     # a further candidate that overlaps a base span is that span's own value
@@ -101,10 +89,6 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_co
     return rows.join(per_row, "row", "left").select("row", "doc_id", "key", "base", "spans")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
-
-
 def _listed(spans: Column) -> Column:
     name = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
@@ -115,7 +99,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One row for each input row.  Null texts count as empty, null repositories and
     owners as one unnamed each; repeated rows each count as occurrences but not
-    as further owners.  ``spans`` lists ``kind:start:end`` in code points,
+    as further owners; other columns are not read; an empty table gives no rows.  ``spans`` lists ``kind:start:end`` in code points,
     ``copies`` the ``n_repos:n_owners`` of each in the same order.
     """
     found = scanned(docs, id_col, text_col, repo_col, owner_col)
@@ -136,26 +120,26 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", live: str = "[SECRET]", example: str = "[EXAMPLE]") -> DataFrame:
-    """The same rows and columns; spans in the text are replaced by ``live``, or by
-    ``example`` where the value is a widely copied one.  Overlapping spans are
-    replaced as one.  Null texts stay null."""
-    names = docs.columns
+    """The same rows and columns, whatever the names of the others; spans in the text are
+    replaced by ``live``, or by ``example`` where the value is a widely copied one.
+
+    Overlapping spans are replaced as one.  Null texts stay null; repeated rows
+    are cleaned alike; an empty table gives no rows.  Only texts that hold a
+    candidate are exchanged to meet their spans.
+    """
     found = scanned(docs, id_col, text_col, repo_col, owner_col).where(F.size("spans") > 0)
-    spans = cut(found.dropDuplicates(["key"]).select("key", "spans"), "redactions").withColumnsRenamed({"key": "_redact_key", "spans": "_redact_spans"})
-    text = F.col(text_col)
-    piece = lambda a, b: F.substr(text, a + 1, b - a)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        tag = F.when(s["example"], example).otherwise(live)
-        inside = s["end"] <= acc["at"]
-        return (
-            F.when(inside, acc)
-            .when(s["start"] < acc["at"], F.struct(s["end"].alias("at"), acc["out"].alias("out")))
-            .otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), tag).alias("out")))
-        )
-
-    cleaned = F.aggregate("_redact_spans", zero, step, lambda a: F.concat(a["out"], piece(a["at"], F.length(text))))
-    keyed = docs.withColumn("_redact_key", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.coalesce(text, F.lit(""))).cast("binary")))
-    joined = keyed.join(spans, "_redact_key", "left")
-    return joined.select(*[F.when(F.col("_redact_spans").isNotNull() & text.isNotNull(), cleaned).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names])
+    spans = cut(found.dropDuplicates(["key"]).select("key", "spans"), "redactions")
+    whole = docs.select(packed(docs, (text_col,)).alias("row"), column(text_col).alias("text"), row_key(column(id_col), F.coalesce(column(text_col), F.lit(""))).alias("key"))
+    text, has = F.col("text"), F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+
+    def step(at, s):
+        # what overlaps the span before it is part of that one
+        tag = F.when(s["start"] >= at, F.when(s["example"], example).otherwise(live))
+        return F.greatest(at, s["end"]), F.struct(at.alias("from"), (s["start"] - at).alias("n"), tag.alias("tag"))
+
+    pieces = scan(F.col("spans"), F.lit(0), step, "struct<from:int,n:int,tag:string>")
+    changed = F.transform(F.filter(pieces, lambda p: p["tag"].isNotNull()), lambda p: F.concat(F.substr(text, p["from"] + 1, p["n"]), p["tag"]))
+    rest = F.substr(text, F.array_max(F.transform("spans", lambda s: s["end"])) + 1)
+    cleaned = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(changed, ""), rest)).otherwise(text)
+    marked = whole.where(has).join(spans, "key", "left").select("row", cleaned.alias("text"))
+    return marked.unionByName(whole.where(~has).select("row", "text")).select(*unpacked(docs, F.col("row"), {text_col: F.col("text")}))

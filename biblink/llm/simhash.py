@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, as_bytes, cut, packed, small_batches, unpacked
+from .common import LOWER_ASCII, as_bytes, column, cut, packed, row_key, small_batches, unpacked
 from .components import connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -222,22 +222,15 @@ def _rooted(prints: DataFrame, long_list: int) -> DataFrame:
     return cut(rooted, "rooted")
 
 
-def _row_key(id_col: str, text_col: str):
-    """Equal for rows of the same id and text; nulls equal each other only."""
-    name = F.col(id_col).cast("string")
-    known = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
-    return F.md5(F.concat(known, F.coalesce(F.concat(F.lit("+"), F.col(text_col)), F.lit("-"))).cast("binary"))
-
-
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """One row of each component, with the columns it came with, whatever their names: that
     of the smallest id, of its texts the one of the smallest key.  A component without
     ids keeps a row as well, and an id with texts in several components stays in
     each that it leads.  Null, empty and blank texts are one component; of rows
     with equal id and text one stays; an empty table gives no rows."""
-    key = _row_key(id_col, text_col)
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))
-    prints = cut(fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text"), "fingerprints")
+    key = row_key(column(id_col), column(text_col))
+    row = F.struct(column(id_col).isNull().alias("none"), column(id_col).alias("id"), key.alias("key"))
+    prints = cut(fingerprints(docs.select(row.alias("row"), column(text_col).alias("text")), "row", "text"), "fingerprints")
     first = _rooted(prints, long_list).groupBy("root").agg(F.min("first_id").alias("first"))
     stays = cut(first.select(F.col("first.key").alias("stays")), "stays")
     # a plain equality, so that the join and the removal of repeats share one exchange of the texts;

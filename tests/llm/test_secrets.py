@@ -62,3 +62,13 @@ def test_copies_in_very_many_repositories_of_one_owner_are_examples(spark):
     got = {r.doc_id: r for r in secret_scan(df).collect()}
     assert (got[0].n_example, got[0].n_live, got[0].copies) == (1, 0, "101:1")
     assert (got[500].n_example, got[500].n_live, got[500].copies) == (0, 1, "100:1")
+
+
+def test_columns_of_any_name_come_back_and_many_spans_are_replaced(spark):
+    names = ["_redact_key", "_redact_spans", "key", "spans", "row", "a.b"]
+    text = " ".join(f"token=value{i:06}" for i in range(700))
+    docs = [(1, text, "s", *names), (None, None, None, *names), (2, "plain", "s", *names)]
+    df = spark.createDataFrame(docs, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    got = redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, " ".join(["[SECRET]"] * 700), "s", *names), docs[1], docs[2]], key=str)
