@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import column, cut
 
 ENTROPY_SHARE, MAX_EPOCHS, BLOCK_ROWS = 0.9, 4.0, 1024
 BISECTIONS = 32
@@ -61,8 +61,9 @@ def source_weights(totals: DataFrame, budget: int | None = None, entropy_share:
     ``budget`` tokens (all tokens by default) are dealt by weight.  The exponent
     is the largest whose entropy is at least ``entropy_share`` of that of equal
     weights; if a source then came more than ``max_epochs`` times, the exponent
-    is raised to the smallest that keeps the limit.  Sources without tokens get
-    nothing; an empty table gives an empty result.
+    is raised to the smallest that keeps the limit.  A budget of more than
+    ``max_epochs`` times all tokens can't keep it and is refused.  Sources
+    without tokens get nothing; an empty table gives an empty result.
     """
     some = totals.where("tokens > 0")
     whole = some.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
@@ -70,6 +71,8 @@ def source_weights(totals: DataFrame, budget: int | None = None, entropy_share:
         return totals.limit(0).select("source", "tokens", "n_rows", F.lit(0.0).alias("exponent"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("quota"))
     all_tokens = int(whole["tokens"])
     budget = all_tokens if budget is None else budget
+    if budget > max_epochs * all_tokens:
+        raise ValueError(f"a budget of {budget} tokens needs more than {max_epochs} passes over {all_tokens}")
     shared = cut(some.withColumn("share", F.col("tokens") / F.lit(float(all_tokens))), "shares")
     target = entropy_share * math.log(whole["n"])
     exponent = _largest(shared, lambda a: _entropy(a) >= F.lit(target))
@@ -107,14 +110,15 @@ def mix(
     A row comes once for each epoch it takes part in.  ``block`` and ``position``
     order a source's epoch.  A null source is one source of its own (shown as
     null); texts without words are never dealt.  Repeated rows are dealt one by
-    one.  A block's last epoch stops at the row nearest to the block's budget.
+    one, and so are rows that share an id or have none.  A block's last epoch
+    stops at the row nearest to the block's budget.  The order follows from the
+    ids and the rows' numbers in the table as it is split.  Other columns are
+    not read; an empty table gives no rows.
     """
-    rows = cut(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col)).alias("n_tokens")).select(
-            "doc_id", "source", "n_tokens", F.monotonically_increasing_id().alias("row"), _hash(F.lit(seed), F.col("doc_id").cast("string")).alias("h")
-        ),
-        "tokens",
-    ).where("n_tokens > 0")
+    read = docs.select(column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), token_count(column(text_col)).alias("n_tokens"))
+    numbered = read.withColumn("row", F.monotonically_increasing_id())
+    # the row's number takes part: rows of one id, or without an id, go to all blocks of their source
+    rows = cut(numbered.withColumn("h", _hash(F.lit(seed), F.col("doc_id").cast("string"), F.col("row").cast("string"))), "tokens").where("n_tokens > 0")
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows"))
     weights = cut(source_weights(cut(totals, "totals"), budget, entropy_share, max_epochs), "weights")
 

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pytest
 from biblink.llm.mixing import mix, source_weights
 
 
@@ -50,3 +51,11 @@ def test_mixture_is_budgeted_block_permutations(spark):
     once = Counter((r.doc_id, r.epoch) for r in got if r.doc_id not in (9002,))
     assert set(once.values()) == {1}
     assert mix(df.limit(0)).collect() == [] and mix(df.where("doc_id in (9000, 9001)")).collect() == []
+
+
+def test_rows_of_one_id_go_to_all_blocks_and_an_impossible_limit_is_refused(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "w w", "s") for i in range(2000)], "doc_id long, text string, source string")
+    sizes = Counter(r.block for r in mix(df, block_rows=100).collect())
+    assert len(sizes) == 20 and max(sizes.values()) < 200 and sum(sizes.values()) == 2000
+    with pytest.raises(ValueError):
+        mix(df, budget=40_000, max_epochs=4.0)
