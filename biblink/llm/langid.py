@@ -25,7 +25,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Rows per language that training reads, about: those with the smallest id hashes.
 SAMPLE_PER_LANGUAGE = 600
-#: Windows that training takes from one text at most, evenly spaced.
+#: Windows that training takes from one text at most, evenly spaced over the whole of it: a
+#: bound of the training rows, which are windows.  Prediction reads all windows.
 SAMPLE_WINDOWS = 8
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 EPOCHS, BATCH, RATE = 6, 64, 0.01
@@ -195,8 +196,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(doc_id, held_out, lang_pred, score)``, one row for each input row.
 
     Languages are learned from rows with a language whose id's crc32 doesn't
-    leave 2 by 4; predictions use the text alone.  Null texts and texts without
-    a letter are ``und`` with score 0, as is everything if no row has a language.
+    leave 2 by 4; predictions use the text alone, so repeated rows are judged
+    alike.  Null texts and texts without a letter are ``und`` with score 0, as is
+    everything if no row has a language; of equally likely languages the first
+    by name is taken; an empty table gives no rows.  Other columns are not read.
     """
     small_batches(docs.sparkSession)
     languages, net = model or train_model(docs, id_col, text_col, lang_col)

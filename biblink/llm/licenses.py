@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, cut, lower_words, small_batches
+from .common import as_bytes, column, cut, lower_words, row_key, small_batches
 
 KGRAM, BAND, MIN_SIMILARITY, MIN_VOTES = 3, 3, 0.8, 0.3
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -68,9 +68,11 @@ def base_places(words: list[bytes], phrases=BASE_PHRASES) -> list[tuple[int, str
     found = []
     for label, phrase in phrases.items():
         needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
+        at, counted, place = joined.find(needle), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            # blanks before it, counted on from the last one
+            place, counted = place + joined.count(b" ", counted, at), at
+            found.append((place, label))
             at = joined.find(needle, at + 1)
     return sorted(found)
 
@@ -96,6 +98,15 @@ def similarity(words: list[bytes], template: list[bytes]) -> tuple[float, int, i
     return best[0], -best[1], best[2]
 
 
+def stretches(words: list[bytes], low: int, high: int, template: list[bytes]):
+    """A region in overlapping pieces of four template lengths.  A stretch at a similarity of
+    0.8 is at most one and a half long, so it lies whole in a piece; pieces, unlike
+    regions of many chained diagonals, don't grow with the text."""
+    step = 2 * len(template)
+    for at in range(low, max(low + 1, min(high, len(words)) - step), step):
+        yield at, words[at : min(high, at + 2 * step)]
+
+
 def _template_grams(spark, templates, k: int) -> DataFrame:
     rows = []
     for number, (_, text) in enumerate(templates):
@@ -130,8 +141,8 @@ def voted_regions(rows: DataFrame, templates, k: int, band: int, min_votes: floa
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(0)) > band
     merged = votes.withColumn("group", F.sum(F.when(apart, 1).otherwise(0)).over(order)).groupBy("key", "template", "length", "group")
     regions = merged.agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    # the vote is scaled to the template, never under one k-gram
-    enough = F.col("votes") >= F.greatest(F.lit(1.0), F.lit(min_votes) * (F.col("length") - (k - 1)))
+    # the vote is scaled to the template; a short one may be found by one k-gram
+    enough = F.col("votes") >= F.greatest(F.lit(1), F.floor(F.lit(min_votes) * (F.col("length") - (k - 1))))
     return regions.where(enough).select("key", "template", F.greatest("low", F.lit(0)).alias("from_word"), (F.col("high") + F.col("length") + band).alias("to_word"))
 
 
@@ -148,56 +159,46 @@ def license_scan(
     """``(doc_id, n_words, base array<struct<at,label>>, spans array<struct<start,end,label,similarity>>)``.
 
     ``base`` has every place of a base phrase; ``spans`` the verified template
-    spans in words, of overlapping ones only the most similar.  One row for
-    each input row; null and empty texts have no words and no spans.
+    spans in words, of overlapping ones only the most similar, of equally
+    similar ones the first.  One row for each input row, repeated rows and null
+    ids included; null and empty texts have no words and no spans; other columns
+    are not read; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
-    numbered = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col(text_col)).cast("binary")).alias("key"),
-        as_bytes(text_col).alias("text"),
-    )
+    numbered = docs.select(column(id_col).alias("doc_id"), row_key(column(id_col), column(text_col)).alias("key"), as_bytes(column(text_col)).alias("text"))
     regions = voted_regions(numbered.select("key", "text"), templates, k, band, min_votes)
-    per_key = cut(regions.groupBy("key").agg(F.collect_list(F.struct("template", "from_word", "to_word")).alias("regions")), "regions")
+    per_key = cut(regions.groupBy(F.col("key").alias("voted")).agg(F.collect_list(F.struct("template", "from_word", "to_word")).alias("regions")), "regions")
 
     words_of = [(label, lower_words(text.encode())) for label, text in templates]
-
-    def verify(batches):
-        for batch in batches:
-            keys, out = [], []
-            for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words, spans = lower_words(text), []
-                for r in found:
-                    label, template = words_of[r["template"]]
-                    score, s, e = similarity(words[r["from_word"] : r["to_word"]], template)
-                    if score >= min_similarity:
-                        spans.append((-score, r["from_word"] + s, r["from_word"] + e, label))
-                kept = []
-                for score, s, e, label in sorted(spans):
-                    if all(e <= a["start"] or s >= a["end"] for a in kept):
-                        kept.append({"start": s, "end": e, "label": label, "similarity": -score})
-                keys.append(key)
-                out.append(sorted(kept, key=lambda x: x["start"]))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, kind)], ["key", "spans"])
-
-    verified = numbered.join(per_key, "key").select("key", "text", "regions").mapInArrow(verify, "key string, spans array<struct<start:long,end:long,label:string,similarity:double>>")
-    verified = cut(verified.dropDuplicates(["key"]), "verified")
-
     kind, base_kind = to_arrow_type(id_type), pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string())]))
-
-    def base(batches):
+    span_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("similarity", pa.float64())]))
+
+    def verified(words, found):
+        spans = set()
+        for r in found or ():
+            label, template = words_of[r["template"]]
+            for at, piece in stretches(words, r["from_word"], r["to_word"], template):
+                score, s, e = similarity(piece, template)
+                if score >= min_similarity:
+                    spans.add((-score, at + s, at + e, label))
+        kept = []
+        for score, s, e, label in sorted(spans):
+            if all(e <= a["start"] or s >= a["end"] for a in kept):
+                kept.append({"start": s, "end": e, "label": label, "similarity": -score})
+        return sorted(kept, key=lambda x: x["start"])
+
+    def read(batches):
         for batch in batches:
-            words = [lower_words(t) for t in batch.column(2).to_pylist()]
+            words = [lower_words(t) for t in batch.column(1).to_pylist()]
             places = [[{"at": a, "label": x} for a, x in base_places(w)] for w in words]
+            spans = [verified(w, found) for w, found in zip(words, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(kind), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(places, base_kind)], ["doc_id", "key", "n_words", "base"]
+                [batch.column(0).cast(kind), pa.array([len(w) for w in words], pa.int64()), pa.array(places, base_kind), pa.array(spans, span_kind)], ["doc_id", "n_words", "base", "spans"]
             )
 
-    counted = numbered.mapInArrow(base, f"doc_id {id_type.simpleString()}, key string, n_words long, base array<struct<at:long,label:string>>")
-    empty = F.array().cast("array<struct<start:long,end:long,label:string,similarity:double>>")
-    return counted.join(verified, "key", "left").select("doc_id", "n_words", "base", F.coalesce("spans", empty).alias("spans"))
+    out = f"doc_id {id_type.simpleString()}, n_words long, base array<struct<at:long,label:string>>, spans array<struct<start:long,end:long,label:string,similarity:double>>"
+    return numbered.join(per_key, F.col("key") == F.col("voted"), "left").select("doc_id", "text", "regions").mapInArrow(read, out)
 
 
 def license_report(found: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ FAIRNESS = 4.0
 #: A toxic row counts as so many clean ones: toxic texts are rare, and one word can make them so.
 POSITIVE_WEIGHT = 4.0
 MIN_ROWS, MIN_Z, L2 = 4, 3.0, 1e-5
-#: Most features of the model: those that tell the classes apart best.
+#: Most features of the model, a bound of its size: identity terms, then those that tell
+#: the classes apart best.
 MAX_FEATURES = 50_000
 
 # Identity terms by kind; a term is swapped within its kind.
@@ -54,6 +55,10 @@ def features(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, [*distinct, *starts]), np.uint64, len(distinct) + len(starts))
 
 
+#: Always weighed, so that a swap of terms can change a score and be penalised.
+IDENTITY_FEATURES = sorted({int(f) for w in SWAPS for f in features([w]).view(np.int64)})
+
+
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, label_id: str, text_col: str, bound: int, modulus: int, remainder: int) -> DataFrame:
     """``(text, y)`` of at most ``bound`` labelled ids outside the held-out fold, by hash of the id."""
     ids = (
@@ -102,7 +107,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray | None, int]], chosen: np.
 
 def telling_features(rows: DataFrame) -> np.ndarray:
     """Of ``rows(f array<long>, y)``, the features whose share of toxic rows is far from
-    the sample's, by a normal score; counted over the cluster."""
+    the sample's, by a normal score, and the identity terms; counted over the cluster."""
     whole = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     n, n1 = float(whole["n"] or 0), float(whole["toxic"] or 0)
     if not 0 < n1 < n:
@@ -110,7 +115,9 @@ def telling_features(rows: DataFrame) -> np.ndarray:
     counted = rows.select(F.explode("f").alias("f"), "y").groupBy("f").agg(F.count("*").alias("have"), F.sum("y").alias("toxic"))
     share = F.col("have") / n
     z = F.abs(F.col("toxic") - n1 * share) / F.sqrt(F.lit(n1 * (1 - n1 / n)) * F.greatest(share * (1 - share), F.lit(1e-12)))
-    best = counted.where(F.col("have") >= MIN_ROWS).select("f", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "f").limit(MAX_FEATURES)
+    named = F.col("f").isin(IDENTITY_FEATURES)
+    best = counted.where(F.col("have") >= MIN_ROWS).select("f", z.alias("z"), named.alias("named")).where((F.col("z") >= MIN_Z) | F.col("named"))
+    best = best.orderBy(F.col("named").desc(), F.col("z").desc(), "f").limit(MAX_FEATURES)
     return np.sort(best.select("f").toArrow().column(0).to_numpy().view(np.uint64))
 
 
@@ -148,9 +155,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``(doc_id, held_out, score, predicted)``, one row for each input row.
 
     Labels are learned from ids whose crc32 leaves a remainder other than 0 by
-    5; scores use the text alone.  Null and empty texts score by the intercept.
-    Without labels of both kinds every score is the labelled rate (0.001 without
-    any label).
+    5; an id labelled more than once has its highest label.  Scores use the text
+    alone: repeated rows score alike, null and empty texts score by the
+    intercept.  Without labels of both kinds every score is the labelled rate
+    (0.001 without any label); an empty table gives no rows.  Other columns are
+    not read.
     """
     small_batches(docs.sparkSession)
     model = model or train_model(docs, labels, id_col=id_col, text_col=text_col)

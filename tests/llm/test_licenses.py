@@ -1,4 +1,4 @@
-from biblink.llm.licenses import TEMPLATES, license_report, license_scan, similarity
+from biblink.llm.licenses import TEMPLATES, license_report, license_scan, similarity, stretches
 
 from . import brute
 
@@ -41,3 +41,20 @@ def test_similarity_finds_the_stretch():
     assert similarity(words, b"under the mit license".split()) == (1.0, 3, 7)
     assert similarity(b"under the new mit license".split(), b"under the mit license".split())[0] == 8 / 9
     assert similarity([], [b"a"])[0] == 0
+
+
+def test_pieces_of_a_region_hold_every_stretch():
+    words, template = [b"%d" % i for i in range(300)], [b"t"] * 8
+    for low, high in ((0, 300), (5, 9), (17, 170), (290, 400)):
+        pieces = [(at, at + len(p)) for at, p in stretches(words, low, high, template)]
+        assert all(e - s <= 32 for s, e in pieces) and max(e for _, e in pieces) == min(high, 300)
+        for s in range(low, min(high, 300) - 11):
+            assert any(a <= s and s + 12 <= b for a, b in pieces)
+
+
+def test_several_notices_in_one_text_and_one_gram_of_a_short_one(spark):
+    notice = "Released under the MIT License."
+    docs = [(1, f"{notice} a b {notice} c d e f {notice}"), (2, "Licensed under CC 4.0.")]
+    rows = {r.doc_id: r for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [s.start for s in rows[1].spans] == [0, 7, 16] and all(s.similarity == 1 for s in rows[1].spans)
+    assert [s.label for s in rows[2].spans] == ["cc-by-4.0"]
