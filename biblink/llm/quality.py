@@ -160,11 +160,11 @@ def path_posteriors(evidence: DataFrame, base: float) -> DataFrame:
     return cut(placed.select("host", "path", "host_posterior", posterior.alias("path_posterior")), "posteriors")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, row: Column, keep_text: bool) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, row: Column, keep_text: bool, model: Model | None) -> DataFrame:
     """``(row, evidence, host_posterior, path_posterior, score)`` and, with ``keep_text``, ``text``;
     ``row.it`` is the given row.  The texts are judged once: what comes of it is
     stored and read twice."""
-    model = train_model(docs, labels, id_col=id_col, text_col=text_col)
+    model = model or train_model(docs, labels, id_col=id_col, text_col=text_col)
     site = lambda name: column(name).cast("string")
     read = cut(with_evidence(docs, model, text_col, F.struct(row.alias("it"), site(host_col).alias("host"), site(path_col).alias("path")), keep_text), "evidence")
     posteriors = path_posteriors(read.select("row.host", "row.path", "evidence"), model.base)
@@ -173,7 +173,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     return joined.select(F.col("row.it").alias("row"), *(["text"] if keep_text else []), "evidence", "host_posterior", "path_posterior", score.alias("score"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
     """``(doc_id, held_out, evidence, host_posterior, path_posterior, score, keep)``, one row for each input row.
 
     Labels are learned from ids whose crc32 leaves a remainder other than 0 by
@@ -183,14 +183,14 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     without labels of both kinds there is no evidence and every score is the
     prior; an empty table gives no rows.  Other columns are not read.
     """
-    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, column(id_col), False)
+    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, column(id_col), False, model)
     return judged.select(F.col("row").alias("doc_id"), "evidence", "host_posterior", "path_posterior", "score").select(
         "doc_id", (id_bucket("doc_id", HELD_OUT_MODULUS) == HELD_OUT_REMAINDER).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("keep")
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
     """The rows that are kept, with the columns they came with, whatever their names; nulls,
     repeats and empty tables as in :func:`quality`."""
-    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, packed(docs, (text_col,)), True)
+    judged = _judged(docs, labels, id_col, text_col, host_col, path_col, packed(docs, (text_col,)), True, model)
     return judged.where(F.col("score") >= threshold).select(*unpacked(docs, F.col("row"), {text_col: F.col("text")}))
