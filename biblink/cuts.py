@@ -11,9 +11,12 @@ _number = itertools.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set and all
+    run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cuts-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
