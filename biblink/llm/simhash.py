@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, as_bytes, column, cut, packed, row_key, small_batches, unpacked
@@ -100,9 +101,10 @@ def _entries(fps: DataFrame) -> DataFrame:
 
 
 def _with_sizes(entries: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Entries of lists with two members or more, with their number ``n``."""
-    sizes = cut(entries.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), f"{name}-sizes")
-    return cut(entries.join(sizes, by), name)
+    """Entries of lists with two members or more, with their number ``n``: one exchange,
+    whose sort spills where it must."""
+    counted = entries.withColumn("n", F.count("*").over(W.partitionBy(*by)))
+    return cut(counted.where("n > 1"), name)
 
 
 def _meetings(members: DataFrame, by: list[str]) -> DataFrame:
