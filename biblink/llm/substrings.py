@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import as_bytes, cut, cut_bucketed, small_batches
 
 WINDOW_WORDS = 35
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Text in one bucket of the stored chunks.
 BUCKET_BYTES = 128 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
