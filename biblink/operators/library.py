@@ -109,10 +109,25 @@ def apply_decisions(resolved: DataFrame, decisions: DataFrame, keys: list[str])
     )
 
 
-def report_rows(resolved: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
-    """The report's columns, one row for each reference."""
+def report_rows(resolved: DataFrame, refs: DataFrame, records: DataFrame, keys: list[str], item_keys: DataFrame | None = None) -> DataFrame:
+    """The report's columns, one row for each reference.
+
+    Identifiers and title are those of the chosen record, ``records(candidate,
+    doi, pmid, title)``; an item made of the reference's own text shows that
+    text's.  ``item_keys(keys, key)`` are the library's keys of what was made.
+    """
     c = F.col
-    return resolved.join(refs.select(*keys, "raw", F.col("title").alias("resolved_title"), "doi", "pmid"), keys).select(
-        *keys, "status", "tier", F.format_number("confidence", 2).alias("confidence"), F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("pmid", F.lit("")).alias("pmid"),
-        "resolved_title", "reason", F.array_join("notes", " | ").alias("advisory"), c("raw").alias("raw_reference"),
+    own = refs.select(*keys, "raw", F.col("title").alias("_t"), F.col("doi").alias("_d"), F.col("pmid").alias("_p"))
+    chosen = records.select("candidate", F.col("title").alias("_ct"), F.col("doi").alias("_cd"), F.col("pmid").alias("_cp"))
+    joined = resolved.join(own, keys).join(chosen, "candidate", "left")
+    joined = joined.join(item_keys.select(*keys, F.col("key").alias("_key")), keys, "left") if item_keys is not None else joined.withColumn("_key", F.lit(None).cast("string"))
+    shown = lambda record, text: F.coalesce(F.when(c("status") == "FROM_TEXT", c(text)).otherwise(c(record)), F.lit(""))
+    return joined.select(
+        *keys, "status", "tier", "confidence", shown("_cd", "_d").alias("doi"), shown("_cp", "_p").alias("pmid"), F.coalesce("_key", F.lit("")).alias("zotero_key"),
+        shown("_ct", "_t").alias("resolved_title"), "reason", F.array_join("notes", " | ").alias("advisory"), c("raw").alias("raw_reference"),
     )
+
+
+def write_report(report: DataFrame, order: list[str], path: str) -> None:
+    """The report as CSV with a header, in order; files follow one another by name."""
+    report.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)

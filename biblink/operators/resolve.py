@@ -19,6 +19,11 @@ COMMON_SHARE = 0.02
 MAX_PARTED = 10
 
 REF_FIELDS = ("authors", "corporate", "title", "journal", "year", "volume", "issue", "first_page", "last_page", "is_book")
+# Which providers look a record up by its identifier, first choice first, and
+# the tiers that the gate gives.
+BY_DOI, BY_PMID = ("crossref", "openalex"), ("pubmed", "openalex")
+GATE_TIERS = ("ecitmatch", "fingerprint", "title+journal+author", "provider-agreement", "exact-title")
+
 CANDIDATE_FIELDS = ("title", "doi", "pmid", "authors", "corporate", "year", "journal", "journal_abbrev", "volume", "issue", "first_page", "last_page", "item_type", "providers")
 
 
@@ -154,7 +159,7 @@ def fallback(first: DataFrame, second: DataFrame, refs: DataFrame, ref_keys: lis
     return first.unionByName(second.join(unmet, ref_keys, "left_semi"))
 
 
-def gather(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K, cited: bool = False) -> DataFrame:
+def gather(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K, cited: bool = True) -> DataFrame:
     """Merged candidates of each reference from the title, locator and token blocks together;
     with ``cited`` also from the citation match, whose hits bear its tag."""
     fuzzy = token_blocks(refs, cands, ref_keys, cand_key, k).select(*ref_keys, cand_key)
@@ -176,10 +181,15 @@ def as_pairs(refs: DataFrame, merged: DataFrame, ref_keys: list[str]) -> DataFra
 
 
 def identifier_hits(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:
-    """``(ref_keys, by, cand_key)``: a record by DOI, else by PMID, of the earliest provider."""
-    first = F.min_by(F.struct(F.col(cand_key), "provider"), "arrival").alias("hit")
-    by_doi = cands.where("doi is not null").groupBy(norm_doi(F.col("doi")).alias("k")).agg(first)
-    by_pmid = cands.where("pmid is not null").groupBy(F.col("pmid").alias("k")).agg(first)
+    """``(ref_keys, by, cand_key, provider)``: a record by DOI, else by PMID, of the first
+    provider that looks up identifiers of the kind and has it."""
+
+    def found(column: str, key: Column, order: tuple[str, ...]) -> DataFrame:
+        place = F.array_position(F.array(*map(F.lit, order)), F.col("provider"))
+        first = F.min_by(F.struct(F.col(cand_key), "provider"), F.struct(place, "arrival", F.col(cand_key))).alias("hit")
+        return cands.where(F.col(column).isNotNull() & F.col("provider").isin(*order)).groupBy(key.alias("k")).agg(first)
+
+    by_doi, by_pmid = found("doi", norm_doi(F.col("doi")), BY_DOI), found("pmid", F.col("pmid"), BY_PMID)
     named = refs.where("doi is not null or pmid is not null").select(*ref_keys, norm_doi(F.col("doi")).alias("d"), F.col("pmid").alias("p"))
     joined = named.join(by_doi.select(F.col("k").alias("d"), F.col("hit").alias("hd")), "d", "left").join(by_pmid.select(F.col("k").alias("p"), F.col("hit").alias("hp")), "p", "left")
     return joined.where("hd is not null or hp is not null").select(
@@ -215,14 +225,14 @@ def advisories(scored: DataFrame, ref_keys: list[str]) -> DataFrame:
     return both.select(*ref_keys, F.array_compact(F.array(F.when(c("v").isNotNull(), verify), F.when(c("l").isNotNull(), elsewhere))).alias("notes"))
 
 
-def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, corrections: DataFrame | None = None, cache: DataFrame | None = None, k: int = TOP_K, cited: bool = False) -> DataFrame:
+def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, corrections: DataFrame | None = None, cache: DataFrame | None = None, k: int = TOP_K, cited: bool = True) -> DataFrame:
     """One row for each parsed reference: status, tier, confidence, reason, chosen candidate, alternatives, notes.
 
     Layers apply in order: corrections and cache by ``ref_key(raw)``, both with
     ``(ref_key, candidate)`` and the cache with its status, tier and confidence;
     identifiers; the best gate of the gathered candidates; the reference's own
     text; review.  Only what the earlier layers leave reaches the fuzzy join.
-    ``cited`` asks the citation match as well.
+    ``cited`` asks the citation match as well.  What is accepted needs no reason.
     """
     keyed = materialize(refs.withColumn("ref_key", ref_key(F.col("raw"))), "refs")
     cands = materialize(cands, "candidates")
@@ -239,8 +249,8 @@ def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: st
         return df.select(*ref_keys, verdict.alias("v"), candidate.cast("string").alias("candidate"), none.alias("alternatives"), none.alias("notes"))
 
     if corrections is not None:
-        settle(shaped(left.join(corrections.select("ref_key", "candidate"), "ref_key"), _verdict("ACCEPTED", "correction", 1.0, "human correction"), F.col("candidate")))
-    settle(shaped(identifier_hits(left, cands, ref_keys, cand_key), _verdict("ACCEPTED", "identifier", 1.0, F.concat(F.lit("resolved by "), F.col("by"))), F.col(cand_key)))
+        settle(shaped(left.join(corrections.select("ref_key", "candidate"), "ref_key"), _verdict("ACCEPTED", "correction", 1.0, ""), F.col("candidate")))
+    settle(shaped(identifier_hits(left, cands, ref_keys, cand_key), _verdict("ACCEPTED", "identifier", 1.0, ""), F.col(cand_key)))
     if cache is not None:
         kept = cache.where("candidate is not null").select("ref_key", "status", "tier", "confidence", "candidate")
         settle(shaped(left.join(kept, "ref_key"), F.struct("status", "tier", F.col("confidence").cast("double").alias("confidence"), F.lit("from cache").alias("reason")), F.col("candidate")))
@@ -260,8 +270,8 @@ def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: st
     none = F.array().cast("array<string>")
     ids = F.transform(F.coalesce("top", F.array().cast("array<struct<rank:int,_c:string,confidence:double>>")), lambda t: t["_c"])
     verdict = (
-        F.when(c("best").isNotNull() & c("best.gate.ok"), _verdict("ACCEPTED", c("best.gate.tier"), c("best.gate.confidence"), F.concat(F.lit("matched on "), c("best.gate.tier"))))
-        .when(complete_for_text_item(), _verdict("FROM_TEXT", F.when(c("is_book"), "book-from-text").otherwise("from-reference-text"), 0.80, "built from the reference's own text"))
+        F.when(c("best").isNotNull() & c("best.gate.ok"), _verdict("ACCEPTED", c("best.gate.tier"), c("best.gate.confidence"), ""))
+        .when(complete_for_text_item(), _verdict("FROM_TEXT", "from-reference-text", 0.80, F.concat(F.lit("no index holds this "), F.when(c("is_book"), "book").otherwise("article"), F.lit("; item built from the reference text (no external corroboration)"))))
         .otherwise(
             _verdict("REVIEW", "none", F.coalesce(F.get("top", F.lit(0))["confidence"], F.lit(0.0)), F.when(c("top").isNull(), F.lit("no candidates returned by any provider")).otherwise(F.concat(F.lit("best candidate rejected: "), c("reasons"))))
         )
@@ -273,12 +283,20 @@ def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: st
 
 
 def cache_upsert(cache: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The cache with newly resolved rows in place of older ones of the same key; what is
-    in review is never stored.  Rows are ``(ref_key, status, tier, confidence, candidate)``."""
+    """The cache with newly resolved rows in place of older ones of the same key; only what the
+    gate accepted is stored, not what a human, an identifier, the reference's own text or
+    nobody decided.  Rows are ``(ref_key, status, tier, confidence, candidate)``."""
     columns = ["ref_key", "status", "tier", "confidence", "candidate"]
-    fresh = resolved.where(~F.col("status").isin("REVIEW")).groupBy("ref_key").agg(*[F.max_by(x, "n").alias(x) for x in columns[1:]])
+    fresh = resolved.where((F.col("status") == "ACCEPTED") & F.col("tier").isin(*GATE_TIERS)).groupBy("ref_key").agg(*[F.max_by(x, "n").alias(x) for x in columns[1:]])
     return cache.select(columns).join(fresh.select("ref_key"), "ref_key", "left_anti").unionByName(fresh.select(columns))
 
 
+def correction_upsert(corrections: DataFrame, decided: DataFrame) -> DataFrame:
+    """Corrections with a human's newest decision for each key in place of older ones.  Rows are
+    ``(ref_key, candidate, decided_at)``; of one moment's decisions the greatest candidate stays."""
+    newest = decided.groupBy("ref_key").agg(F.max(F.struct("decided_at", "candidate")).alias("v")).select("ref_key", "v.candidate", "v.decided_at")
+    return corrections.select("ref_key", "candidate", "decided_at").join(newest.select("ref_key"), "ref_key", "left_anti").unionByName(newest)
+
+
 def shown_similarity() -> Column:
     return fixed2(F.col("title_sim"))

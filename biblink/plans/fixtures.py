@@ -32,6 +32,9 @@ SELECT o.o_orderkey AS n, o.o_orderkey % 10 AS variant, p.paper_id AS truth,
 FROM (SELECT o_orderkey, o_orderkey % (SELECT count(*) FROM part) AS cited FROM orders) o JOIN ({PAPERS}) p ON p.paper_id = o.cited
 """
 
+#: The same papers with titles that have no near neighbour.
+UNLIKE_PAPERS = PAPERS.replace("CAST(p_partkey AS VARCHAR(20))) AS title", "CAST(p_partkey AS VARCHAR(20)), ' ', md5(CAST(p_partkey AS VARCHAR(20)))) AS title")
+
 CANDIDATES = f"""
 SELECT 1 AS arrival, 'crossref' AS provider, paper_id, title, doi, CAST(NULL AS VARCHAR(20)) AS pmid, lower(surname) AS author, year, jfull AS journal, '' AS journal_abbrev, vol AS volume, issue, fp AS first_page, lp AS last_page FROM ({PAPERS}) p1
 UNION ALL
@@ -42,6 +45,8 @@ UNION ALL
 SELECT 4, 'openalex', paper_id, upper(title), NULL, NULL, lower(surname), year, jfull, '', NULL, NULL, NULL, NULL FROM ({PAPERS}) p4 WHERE paper_id % 4 = 0
 """
 
+UNLIKE_CANDIDATES = CANDIDATES.replace(PAPERS, UNLIKE_PAPERS)
+
 #: Twenty references to a manuscript: body, heading, wrapped entries, caption.
 LINES = f"""
 SELECT n // 20 AS doc_id, CAST(100 + 2 * (n % 20) AS INT) AS line_no,
@@ -80,6 +85,25 @@ FROM ({PAPERS}) p WHERE paper_id % 7 = 0 OR paper_id % 11 = 0
 """
 
 
+#: A reference for each paper, of eight kinds that other layers than the plain ones decide.
+#: Titles that only two indexes together raise over their neighbours are left to those papers.
+ODD_FORM = "CASE WHEN paper_id % 8 = 3 AND paper_id % 3 > 0 THEN 2 ELSE paper_id % 8 END"
+ODD_REFS = f"""
+SELECT paper_id AS n, form, concat(
+ CASE form WHEN 5 THEN 'World Health Group' WHEN 6 THEN 'Quux AB' ELSE concat(surname, ' AB') END, '. ',
+ CASE form WHEN 1 THEN 'Qzx vvk jjw zzq' WHEN 2 THEN 'Kkq wwz xjj vvq' WHEN 7 THEN replace(title, 'outcomes', 'outcome') ELSE title END, '. ',
+ CASE form WHEN 0 THEN concat('2nd edn. New York, NY: Wiley; ', CAST(year AS VARCHAR(9)), '.')
+  WHEN 1 THEN concat(jabbr, '. ', CAST(year AS VARCHAR(9)), ';', vol, '(', issue, '):', fp, '-', lp, '.')
+  WHEN 2 THEN 'Vvx Qkj. 1971.'
+  WHEN 3 THEN concat('Other Letters. ', CAST(year + 5 AS VARCHAR(9)), '.')
+  WHEN 4 THEN concat('Other Letters. ', CAST(year AS VARCHAR(9)), '.')
+  WHEN 5 THEN concat(jabbr, '. ', CAST(year AS VARCHAR(9)), ';', vol, '(', issue, '):', fp, '-', lp, '.')
+  WHEN 6 THEN concat('Other Letters. ', CAST(year + 5 AS VARCHAR(9)), ';999(1):3-4.')
+  ELSE concat(jabbr, '. ', CAST(year AS VARCHAR(9)), '.') END) AS raw
+FROM (SELECT *, {ODD_FORM} AS form FROM ({UNLIKE_PAPERS}) p) o
+"""
+
+
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A fixture's rows; the base tables are passed by name, no view is left behind."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "orders")}
@@ -102,11 +126,11 @@ def lines(spark, sf_dir):
     return materialize(fixture(spark, sf_dir, LINES), "lines")
 
 
-def candidates(spark, sf_dir):
+def candidates(spark, sf_dir, sql=CANDIDATES):
     """Candidate rows in the library's schema."""
     from pyspark.sql import functions as F
 
-    return fixture(spark, sf_dir, CANDIDATES).select(
+    return fixture(spark, sf_dir, sql).select(
         "arrival", "provider", "paper_id", "title", "doi", "pmid", F.array("author").alias("authors"), F.lit(None).cast("string").alias("corporate"), "year", "journal", "journal_abbrev",
         "volume", "issue", "first_page", "last_page", F.lit("journalArticle").alias("item_type"), F.array("provider").alias("providers"),
     )

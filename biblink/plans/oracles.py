@@ -83,10 +83,31 @@ SIGNALS = f"""(SELECT f.n, f.variant, m.arrival, 1.0::DOUBLE AS title_sim, CAST(
 CONFIDENCE = """greatest(0.0, least(1.0, 0.42::DOUBLE * title_sim + CASE year_delta WHEN 0 THEN 0.14::DOUBLE WHEN 1 THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN author_ok THEN 0.10::DOUBLE ELSE 0.06::DOUBLE * author_overlap END
   + CASE WHEN journal_ok THEN 0.09::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN volume_ok AND first_page_ok THEN 0.09::DOUBLE WHEN volume_ok OR first_page_ok THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN last_page_ok THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END + least(0.05::DOUBLE, 0.025::DOUBLE * (n_providers - 1))))"""
 
-#: Outcomes of the cascade by variant.
-OUTCOME = """CASE variant WHEN 3 THEN 'FROM_TEXT' ELSE 'ACCEPTED' END AS status,
- CASE variant WHEN 3 THEN 'from-reference-text' WHEN 1 THEN 'title+journal+author' WHEN 5 THEN 'title+journal+author' WHEN 6 THEN 'identifier' WHEN 7 THEN 'identifier' ELSE 'fingerprint' END AS tier,
- CAST(CASE variant WHEN 3 THEN 0.80 WHEN 1 THEN 0.93 WHEN 5 THEN 0.93 WHEN 6 THEN 1.0 WHEN 7 THEN 1.0 ELSE 0.97 END AS DOUBLE) AS confidence"""
+#: PubMed has a record of the paper; it answers PMIDs and the citation match.
+_IN_PUBMED = "truth % 5 IN (0, 2)"
+#: Outcomes of the cascade by variant: the year is two off, the volume is wrong, no locator, a
+#: DOI, a PMID, another journal; the others agree in all.
+OUTCOME = f"""CASE variant WHEN 3 THEN 'FROM_TEXT' ELSE 'ACCEPTED' END AS status,
+ CASE WHEN variant = 3 THEN 'from-reference-text' WHEN variant IN (1, 5) THEN 'title+journal+author' WHEN variant = 6 OR variant = 7 AND {_IN_PUBMED} THEN 'identifier' WHEN variant IN (0, 4, 9) AND {_IN_PUBMED} THEN 'ecitmatch' ELSE 'fingerprint' END AS tier,
+ CAST(CASE WHEN variant = 3 THEN 0.80 WHEN variant IN (1, 5) THEN 0.93 WHEN variant = 6 OR variant = 7 AND {_IN_PUBMED} THEN 1.0 WHEN variant IN (0, 4, 9) AND {_IN_PUBMED} THEN 0.99 ELSE 0.97 END AS DOUBLE) AS confidence"""
+#: The richer of the records with the paper's DOI.
+_RICH = "CASE WHEN {0} % 3 = 0 THEN 2 ELSE 1 END"
+#: Told where a place or an identifier decides; by title alone a neighbour may rank first.
+CHOSEN = f"""CASE WHEN variant = 6 THEN CAST(truth * 10 + 1 AS VARCHAR) WHEN variant IN (0, 4, 7, 9) AND {_IN_PUBMED} THEN CAST(truth * 10 + 3 AS VARCHAR) WHEN variant NOT IN (1, 3, 5) THEN CAST(truth * 10 + {_RICH.format('truth')} AS VARCHAR) END AS candidate"""
+_TEXT_REASON = "'no index holds this {0}; item built from the reference text (no external corroboration)'"
+#: The eight kinds of odd references: a book; a place without the title; nothing; a journal and a
+#: year that are off; another journal; a corporate author; wrong authors and journal; a slip.
+ODD = f"""SELECT paper_id AS n,
+  CASE form WHEN 0 THEN 'FROM_TEXT' WHEN 1 THEN 'FROM_TEXT' WHEN 6 THEN 'FROM_TEXT' WHEN 2 THEN 'REVIEW' WHEN 3 THEN 'REVIEW' ELSE 'ACCEPTED' END AS status,
+  CASE WHEN form IN (0, 1, 6) THEN 'from-reference-text' WHEN form IN (2, 3) THEN 'none' WHEN form = 4 AND paper_id % 3 = 0 THEN 'provider-agreement' WHEN form = 4 THEN 'exact-title'
+   WHEN form = 5 AND paper_id % 5 IN (0, 2) THEN 'ecitmatch' WHEN form = 5 THEN 'fingerprint' ELSE 'title+journal+author' END AS tier,
+  CAST(CASE WHEN form IN (0, 1, 6) THEN 0.8 WHEN form = 2 THEN 0.0 WHEN form = 3 THEN 0.545 WHEN form = 4 AND paper_id % 3 = 0 THEN 0.9 WHEN form = 4 THEN 0.88 WHEN form = 5 AND paper_id % 5 IN (0, 2) THEN 0.99 WHEN form = 5 THEN 0.97 ELSE 0.93 END AS DOUBLE) AS confidence,
+  CASE WHEN form IN (0, 1, 2, 3, 6) THEN NULL WHEN form = 5 AND paper_id % 5 IN (0, 2) THEN CAST(paper_id * 10 + 3 AS VARCHAR) ELSE CAST(paper_id * 10 + {_RICH.format('paper_id')} AS VARCHAR) END AS candidate,
+  CASE WHEN form = 0 THEN {_TEXT_REASON.format('book')} WHEN form IN (1, 6) THEN {_TEXT_REASON.format('article')} WHEN form = 2 THEN 'no candidates returned by any provider'
+   WHEN form = 3 THEN 'best candidate rejected: year differs by 5; no volume/first page match; journal mismatch' ELSE '' END AS reason,
+  CASE WHEN form = 1 AND paper_id % 5 IN (0, 2) THEN concat('nothing at ', jabbr, ' ', year, ';', vol, ':', fp, ' matches this title — check the journal name and volume/page numbers.')
+   WHEN form = 6 THEN concat('VERIFY THIS ENTRY: the title matches a real paper (', doi, ', ', jfull, ' ', year, ') whose authors (', surname, ') and journal differ entirely from this reference (Quux, Other Letters). Confirm the reference exists as cited.')
+   ELSE '' END AS notes FROM (SELECT *, {fx.ODD_FORM} AS form FROM ({fx.UNLIKE_PAPERS}) p) o"""
 
 _LINE = f"(SELECT doc_id, line_no, text AS t FROM ({fx.LINES}) l0 WHERE line_no > 2)"
 _SENT = f"({fx.SENTENCES}) s"
@@ -136,7 +157,7 @@ SQL = {
     "journal_match": f"SELECT p.paper_id, q.paper_id AS other_id, p.paper_id % 4 = q.paper_id % 4 AS ok FROM ({fx.PAPERS}) p JOIN ({fx.PAPERS}) q ON q.paper_id - q.paper_id % 2 = p.paper_id",
     "page_volume_equal": f"SELECT paper_id, TRUE AS same, vol = issue AS other, FALSE AS blank FROM ({fx.PAPERS}) p",
     "dedupe_candidates": f"SELECT paper_id, doi, provider, pmid, providers, CAST(votes AS INT) AS votes, arrival FROM {MERGED}",
-    "identifier_join": f"""SELECT n, CASE variant WHEN 6 THEN 'doi' ELSE 'pmid' END AS by, paper_id * 10 + CASE WHEN variant = 6 THEN 1 WHEN paper_id % 3 = 0 THEN 2 ELSE 3 END AS cid, CASE WHEN variant = 6 THEN 'crossref' WHEN paper_id % 3 = 0 THEN 'europepmc' ELSE 'pubmed' END AS provider FROM {FACTS} WHERE variant IN (6, 7)""",
+    "identifier_join": f"""SELECT n, CASE variant WHEN 6 THEN 'doi' ELSE 'pmid' END AS by, paper_id * 10 + CASE WHEN variant = 6 THEN 1 ELSE 3 END AS cid, CASE WHEN variant = 6 THEN 'crossref' ELSE 'pubmed' END AS provider FROM {FACTS} WHERE variant = 6 OR variant = 7 AND paper_id % 5 IN (0, 2)""",
     "locator_match": f"SELECT f.n, c.cid FROM {FACTS.replace(') facts', ') f')} JOIN {CANDS} c ON c.volume = f.r_vol AND c.first_page = f.r_fp AND abs(c.year - f.r_year) <= 1",
     "title_match": f"SELECT f.n, c.cid FROM {FACTS.replace(') facts', ') f')} JOIN {CANDS} c ON lower(c.title) = lower(f.r_title)",
     "token_block_topk": f"""WITH t AS (SELECT DISTINCT paper_id, unnest({tokens(norm('title'))}) AS token FROM ({fx.PAPERS}) p), total AS (SELECT count(*) AS c FROM part),
@@ -151,13 +172,16 @@ SQL = {
     "accept_gate": f"""SELECT n, arrival, tier <> 'none' AS ok, tier FROM (SELECT n, arrival, CASE WHEN year_delta > 1 THEN 'none' WHEN volume_ok AND first_page_ok THEN 'fingerprint' WHEN journal_ok AND author_ok THEN 'title+journal+author' WHEN n_providers >= 2 AND (journal_ok OR author_ok) THEN 'provider-agreement' WHEN author_ok THEN 'exact-title' ELSE 'none' END AS tier FROM {SIGNALS}) x""",
     "failing_reasons": f"""SELECT n, arrival, concat_ws('; ', CASE WHEN year_delta > 1 THEN concat('year differs by ', year_delta) END, CASE WHEN NOT (volume_ok AND first_page_ok) THEN concat('no ', concat_ws('/', CASE WHEN NOT volume_ok THEN 'volume' END, CASE WHEN NOT first_page_ok THEN 'first page' END), ' match') END,
    CASE WHEN NOT journal_ok THEN 'journal mismatch' END, CASE WHEN NOT author_ok THEN 'author mismatch' END) AS reasons FROM {SIGNALS}""",
-    "cascade_status": f"SELECT n, {OUTCOME} FROM ({fx.REFS}) r",
+    "cascade_status": f"SELECT n, {OUTCOME}, {CHOSEN}, CASE variant WHEN 3 THEN {_TEXT_REASON.format('article')} ELSE '' END AS reason FROM ({fx.REFS}) r",
+    "cascade_layers": ODD,
     "status_counts": f"SELECT status, tier, count(*) AS n_refs FROM (SELECT {OUTCOME} FROM ({fx.REFS}) r) x GROUP BY status, tier",
     "correction_override": f"""WITH o AS (SELECT n, raw, {OUTCOME} FROM ({fx.REFS}) r), k8 AS (SELECT DISTINCT raw FROM o WHERE n % 20 = 8), kc AS (SELECT DISTINCT raw FROM o WHERE n % 20 IN (3, 6))
   SELECT n, CASE WHEN fixed OR cached THEN 'ACCEPTED' ELSE status END AS status, CASE WHEN fixed THEN 'correction' WHEN cached THEN 'fingerprint' ELSE tier END AS tier, CASE WHEN fixed THEN 1.0 WHEN cached THEN 0.97 ELSE confidence END AS confidence, CASE WHEN status = 'FROM_TEXT' AND NOT cached THEN NULL ELSE fixed OR cached END AS settled
   FROM (SELECT *, raw IN (SELECT raw FROM k8) AS fixed, raw IN (SELECT raw FROM kc) AND tier <> 'identifier' AS cached FROM o) x""",
-    "cache_upsert": f"""WITH r AS (SELECT n, variant, truth FROM ({fx.REFS}) r0), old AS (SELECT DISTINCT truth FROM r WHERE variant < 3), new AS (SELECT truth, max(n) AS n FROM r WHERE variant IN (2, 3) GROUP BY truth)
-  SELECT tier, 'ACCEPTED' AS status, count(*) AS n_keys, CAST(sum(chars) AS BIGINT) AS chars FROM (SELECT 'new' AS tier, length(CAST(n AS VARCHAR)) AS chars FROM new UNION ALL SELECT 'old', 1 FROM old WHERE truth NOT IN (SELECT truth FROM new)) x GROUP BY tier""",
+    "cache_upsert": f"""WITH r AS (SELECT n, variant, truth FROM ({fx.REFS}) r0), old AS (SELECT DISTINCT truth FROM r WHERE variant < 3), new AS (SELECT truth, max(n) AS n FROM r WHERE variant = 2 GROUP BY truth)
+  SELECT tier, 'ACCEPTED' AS status, count(*) AS n_keys, CAST(sum(chars) AS BIGINT) AS chars FROM (SELECT 'fingerprint' AS tier, length(CAST(n AS VARCHAR)) AS chars FROM new UNION ALL SELECT 'old', 1 FROM old WHERE truth NOT IN (SELECT truth FROM new)) x GROUP BY tier""",
+    "correction_upsert": f"""WITH r AS (SELECT n, variant, concat('k', truth) AS ref_key FROM ({fx.REFS}) r0), new AS (SELECT ref_key, max(n) AS n FROM r WHERE variant IN (2, 3) GROUP BY ref_key)
+  SELECT ref_key, CAST(n AS VARCHAR) AS candidate, CAST(n AS BIGINT) AS decided_at FROM new UNION ALL SELECT DISTINCT ref_key, 'old', CAST(0 AS BIGINT) FROM r WHERE variant < 3 AND ref_key NOT IN (SELECT ref_key FROM new)""",
     "library_reuse": _REUSE,
     "create_batches": f"""SELECT paper_id, manuscript, CAST((rn - 1) // 50 AS INT) AS batch, printf('DRYRUN%03d', rn - 1) AS dry_key FROM (SELECT paper_id, CAST(paper_id // 100 AS BIGINT) AS manuscript, row_number() OVER (PARTITION BY paper_id // 100 ORDER BY paper_id) AS rn FROM ({_REUSE}) x WHERE key IS NULL) y""",
     "creators": f"SELECT paper_id, concat_ws('|', CASE WHEN paper_id % 3 = 0 THEN jfull END, lower(surname), 'roe') AS names FROM ({fx.PAPERS}) p",
@@ -166,7 +190,9 @@ SQL = {
     "complete_enough": f"SELECT n, variant <> 5 AS complete FROM ({fx.REFS}) r",
     "review_apply": f"""SELECT n, CASE k WHEN 1 THEN 'DROPPED' WHEN 2 THEN 'FROM_TEXT' WHEN 3 THEN 'ACCEPTED' WHEN 4 THEN CASE WHEN n % 3 < 2 THEN 'ACCEPTED' ELSE 'REVIEW' END ELSE 'REVIEW' END AS status, CASE WHEN k = 2 THEN 'book-from-text' WHEN k = 3 OR (k = 4 AND n % 3 < 2) THEN 'manual' ELSE 'none' END AS tier,
    CAST(CASE WHEN k = 2 THEN 0.8 WHEN k = 3 OR (k = 4 AND n % 3 < 2) THEN 1.0 ELSE 0.4 END AS DOUBLE) AS confidence, CASE WHEN k = 3 THEN '10.1/x' WHEN k = 4 AND n % 3 = 0 THEN 'a' WHEN k = 4 AND n % 3 = 1 THEN 'b' END AS candidate FROM (SELECT n, CASE WHEN n % 7 = 0 THEN -1 ELSE n % 5 END AS k FROM ({fx.REFS}) r) x""",
-    "report_rows": f"SELECT r.n, 'REVIEW' AS status, 'none' AS tier, '0.12' AS confidence, CASE WHEN f.variant = 6 THEN f.doi ELSE '' END AS doi, CASE WHEN f.variant = 7 THEN f.pmid ELSE '' END AS pmid, f.r_title AS resolved_title, 'r' AS reason, 'x | y' AS advisory, r.raw AS raw_reference FROM ({fx.REFS}) r JOIN {FACTS.replace(') facts', ') f')} ON f.n = r.n",
+    "report_rows": f"""SELECT n, CASE n % 3 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'FROM_TEXT' ELSE 'REVIEW' END AS status, 'none' AS tier, CAST(0.125 AS DOUBLE) AS confidence, CASE WHEN n % 3 = 0 OR n % 3 = 1 AND variant = 6 THEN doi ELSE '' END AS doi,
+   CASE WHEN n % 3 = 1 AND variant = 7 THEN pmid ELSE '' END AS pmid, CASE WHEN n % 3 < 2 THEN concat('K', n) ELSE '' END AS zotero_key, CASE n % 3 WHEN 0 THEN title WHEN 1 THEN r_title ELSE '' END AS resolved_title, 'r' AS reason, 'x | y' AS advisory, raw AS raw_reference
+   FROM (SELECT f.*, r.raw FROM ({fx.REFS}) r JOIN {FACTS.replace(') facts', ') f')} ON f.n = r.n) x""",
     "bracket_citations": f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_GROUP}', 1), '|') AS specs FROM {_SENT}",
     "bracket_citations_documents": f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_GROUP}', 1), '|') AS specs FROM documents",
     "attached_citations": f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z][.;,!?]{_NUMBERS}'), lambda m: substring(m, 3)), '|') AS specs FROM {_SENT}",

@@ -29,8 +29,8 @@ def _stored(spark, sf_dir):
     return materialize(_parsed(spark, sf_dir), "parsed")
 
 
-def _cands(spark, sf_dir):
-    return fx.candidates(spark, sf_dir).withColumn("cid", F.col("paper_id") * 10 + F.col("arrival"))
+def _cands(spark, sf_dir, sql=fx.CANDIDATES):
+    return fx.candidates(spark, sf_dir, sql).withColumn("cid", F.col("paper_id") * 10 + F.col("arrival"))
 
 
 def _names(spark, sf_dir):
@@ -233,7 +233,16 @@ def _resolved(spark, sf_dir, **layers):
 
 
 def cascade_status(spark, sf_dir):
-    return _resolved(spark, sf_dir).select("n", "status", "tier", "confidence")
+    """The chosen record is told where a place or an identifier decides."""
+    told = F.when(F.col("tier").isin("identifier", "ecitmatch", "fingerprint"), F.col("candidate")).alias("candidate")
+    return _resolved(spark, sf_dir).select("n", "status", "tier", "confidence", told, "reason")
+
+
+def cascade_layers(spark, sf_dir):
+    """Books, corporate authors, contradictions, doubtful entries, weaker tiers and review."""
+    refs = parse.parse_references(fx.fixture(spark, sf_dir, fx.ODD_REFS))
+    out = resolve.resolve(refs, _cands(spark, sf_dir, fx.UNLIKE_CANDIDATES), ["n"], "cid")
+    return out.select("n", "status", "tier", F.round("confidence", 9).alias("confidence"), "candidate", "reason", F.array_join("notes", " | ").alias("notes"))
 
 
 def status_counts(spark, sf_dir):
@@ -251,10 +260,18 @@ def correction_override(spark, sf_dir):
 def cache_upsert(spark, sf_dir):
     rows = fx.refs(spark, sf_dir).select("n", "variant", F.concat(F.lit("k"), F.col("truth").cast("string")).alias("ref_key"))
     old = rows.where("variant < 3").groupBy("ref_key").agg(F.lit("ACCEPTED").alias("status"), F.lit("old").alias("tier"), F.lit(0.5).alias("confidence"), F.lit("c").alias("candidate"))
-    new = rows.where("variant in (2, 3, 4)").select("n", "ref_key", F.when(F.col("variant") == 4, "REVIEW").otherwise("ACCEPTED").alias("status"), F.lit("new").alias("tier"), F.lit(0.9).alias("confidence"), F.col("n").cast("string").alias("candidate"))
+    status, tier = F.when(F.col("variant") == 4, "REVIEW").when(F.col("variant") == 5, "FROM_TEXT").otherwise("ACCEPTED"), F.when(F.col("variant") == 3, "identifier").otherwise("fingerprint")
+    new = rows.where("variant in (2, 3, 4, 5)").select("n", "ref_key", status.alias("status"), tier.alias("tier"), F.lit(0.9).alias("confidence"), F.col("n").cast("string").alias("candidate"))
     return resolve.cache_upsert(old, new).groupBy("tier", "status").agg(F.count("*").alias("n_keys"), F.sum(F.length("candidate")).alias("chars"))
 
 
+def correction_upsert(spark, sf_dir):
+    rows = fx.refs(spark, sf_dir).select("n", "variant", F.concat(F.lit("k"), F.col("truth").cast("string")).alias("ref_key"))
+    old = rows.where("variant < 3").groupBy("ref_key").agg(F.lit("old").alias("candidate"), F.lit(0).cast("long").alias("decided_at"))
+    new = rows.where("variant in (2, 3)").select("ref_key", F.col("n").cast("string").alias("candidate"), F.col("n").cast("long").alias("decided_at"))
+    return resolve.correction_upsert(old, new)
+
+
 def _items(spark, sf_dir):
     p = fx.papers(spark, sf_dir)
     return p.select("paper_id", F.when(F.col("paper_id") % 2 == 0, F.upper("doi")).alias("DOI"), F.upper("title").alias("title"), F.col("year").cast("string").alias("date"))
@@ -304,9 +321,16 @@ def review_apply(spark, sf_dir):
 
 
 def report_rows(spark, sf_dir):
-    refs = _stored(spark, sf_dir)
-    verdict = refs.select("n", F.lit("REVIEW").alias("status"), F.lit("none").alias("tier"), F.lit(0.125).alias("confidence"), F.lit("r").alias("reason"), F.array(F.lit("x"), F.lit("y")).alias("notes"))
-    return lib.report_rows(verdict, refs, ["n"])
+    """A chosen record, an item of the reference's own text, and nothing, by turns."""
+    refs, third = _stored(spark, sf_dir), F.col("n") % 3
+    status = F.when(third == 0, "ACCEPTED").when(third == 1, "FROM_TEXT").otherwise("REVIEW")
+    verdict = refs.select(
+        "n", status.alias("status"), F.lit("none").alias("tier"), F.lit(0.125).alias("confidence"), F.when(third == 0, (F.col("truth") * 10 + 1).cast("string")).alias("candidate"),
+        F.lit("r").alias("reason"), F.array(F.lit("x"), F.lit("y")).alias("notes"),
+    )
+    records = _cands(spark, sf_dir).select(F.col("cid").cast("string").alias("candidate"), "doi", "pmid", "title")
+    made = refs.where("n % 3 < 2").select("n", F.concat(F.lit("K"), F.col("n").cast("string")).alias("key"))
+    return lib.report_rows(verdict, refs, records, ["n"], made)
 
 
 def _sentences(spark, sf_dir):
@@ -371,7 +395,7 @@ QUERIES = {
         fold_superscripts, fmt2_half_even, search_values, biblio_bounds, biblio_segment, parse_identifiers, parse_locator, parse_title_journal, parse_books,
         parse_year_fallback, expand_page, split_segments, lcs_pairs, ratio, token_sort_ratio, token_set_ratio, title_similarity, journal_match,
         page_volume_equal, dedupe_candidates, identifier_join, locator_match, title_match, token_block_topk, fallback_pass, signals, confidence, accept_gate,
-        failing_reasons, cascade_status, status_counts, correction_override, cache_upsert, library_reuse, create_batches, creators, item_fields, csl_item_json,
+        failing_reasons, cascade_status, cascade_layers, status_counts, correction_override, cache_upsert, correction_upsert, library_reuse, create_batches, creators, item_fields, csl_item_json,
         complete_enough, review_apply, report_rows, bracket_citations, bracket_citations_documents, attached_citations, detached_guards, superscript_citations,
         overlap_resolution, expand_spec, render_scannable, deletion_span,
     )
