@@ -23,20 +23,24 @@ def present(c: Column) -> Column:
     return F.coalesce(c.cast("string") != "", F.lit(False))
 
 
+def journal_forms(*names: Column) -> Column:
+    """Token lists of a journal's names: as they are, without brackets, and before their colon."""
+    shapes = []
+    for name in names:
+        shapes += [name, F.regexp_replace(name, r"\([^)]*\)", " "), F.when(F.contains(name, F.lit(":")), F.split_part(name, F.lit(":"), F.lit(1)))]
+    return F.filter(F.transform(F.filter(F.array(*shapes), present), journal_tokens), lambda t: F.size(t) > 0)
+
+
 def journal_match(reference: Column, *names: Column) -> Column:
-    """Each token of one side begins the token in its place of the other, for a name as
-    it is, without brackets, or before its colon."""
-    ours = journal_tokens(reference)
+    """Each token of one side begins the token in its place of the other, for some form of a name."""
 
-    def alike(name):
-        theirs = journal_tokens(name)
+    def alike(ours, theirs):
         pairs = F.zip_with(ours, theirs, lambda a, b: F.startswith(a, b) | F.startswith(b, a))
-        return present(name) & (F.size(ours) > 0) & (F.size(ours) == F.size(theirs)) & F.forall(pairs, lambda x: x)
+        return (F.size(ours) == F.size(theirs)) & F.forall(pairs, lambda x: x)
 
-    found = F.lit(False)
-    for name in names:
-        found = found | alike(name) | alike(F.regexp_replace(name, r"\([^)]*\)", " ")) | (F.contains(name, F.lit(":")) & alike(F.split_part(name, F.lit(":"), F.lit(1))))
-    return F.coalesce(found, F.lit(False))
+    # a list of one, so that the reference's tokens are made once
+    ours = F.filter(F.array(journal_tokens(reference)), lambda t: F.size(t) > 0)
+    return F.coalesce(F.exists(ours, lambda o: F.exists(journal_forms(*names), lambda t: alike(o, t))), F.lit(False))
 
 
 def locator_equal(a: Column, b: Column) -> Column:
