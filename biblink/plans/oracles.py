@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import CONSORTIUM_TAILS, JOURNAL_STOPWORDS, SUPERSCRIPTS, TITLE_STOPWORDS
 from ..sources.bibliography import LEAD
+from . import citation_oracles
 from . import fixtures as fx
 from .queries import KNOWN
 
@@ -200,3 +201,5 @@ SQL = {
     "deletion_span": f"""SELECT doc_id, CAST(CASE WHEN i > 0 AND substring(text, i, 1) = ' ' AND (length(text) <= i + 3 OR contains(' .,;:!?)]', substring(text, i + 4, 1))) THEN i - 1 ELSE i END AS INT) AS start, CAST(i + 3 AS INT) AS "end"
    FROM (SELECT doc_id, text, CASE WHEN strpos(substring(text, 8), ' ') > 0 THEN strpos(substring(text, 8), ' ') + 7 ELSE 0 END AS i FROM {_SENT}) x""",
 }
+
+SQL |= citation_oracles.SQL

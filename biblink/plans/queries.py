@@ -9,8 +9,9 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import citations as cite
 from ..operators import library as lib
-from ..operators import match, parse, resolve
+from ..operators import manuscript, match, parse, resolve
 from ..sources import bibliography as bib
+from ..sources import docx, docx_write
 from . import fixtures as fx
 
 KNOWN = 40
@@ -373,13 +374,97 @@ def expand_spec(spark, sf_dir):
     return d.select("n", F.array_join(F.transform(cite.expand(F.col("spec"), F.col("bracketed"), known), lambda x: x.cast("string")), ",").alias("numbers"))
 
 
+def _known_numbers():
+    return F.sequence(F.lit(1), F.lit(KNOWN))
+
+
+def _status(n):
+    """Each fifth reference was dropped, each third waits for review."""
+    return F.when(n % 5 == 0, "DROPPED").when(n % 3 == 0, "REVIEW").otherwise("ACCEPTED")
+
+
+def _label(n):
+    return F.concat(F.lit("W"), n.cast("string"), F.lit(", (2000)"))
+
+
 def render_scannable(spark, sf_dir):
-    """Sentences with their markers replaced: each third reference waits for review, each fifth was dropped."""
-    numbers = range(1, KNOWN + 1)
-    marker = lambda i: None if i % 5 == 0 else f"{{NEEDS REVIEW: ref {i}}}" if i % 3 == 0 else f"{{ | W{i}, (2000) | | |zu:0:K{i}}}"
-    markers = F.create_map(*[x for i in numbers for x in (F.lit(i), F.lit(marker(i)).cast("string"))])
-    d = _sentences(spark, sf_dir).withColumn("spans", cite.citation_spans(F.col("text")))
-    return d.select("doc_id", cite.rewrite(F.col("text"), F.col("spans"), F.sequence(F.lit(1), F.lit(KNOWN)), markers).alias("text"))
+    """Sentences with their markers replaced."""
+    key = lambda n: F.concat(F.lit("K"), n.cast("string"))
+    markers = F.map_from_arrays(_known_numbers(), F.transform(_known_numbers(), lambda n: cite.render_one(n, _status(n), key(n), _label(n))))
+    d = _sentences(spark, sf_dir).withColumns({"spans": cite.citation_spans(F.col("text")), "markers": markers})
+    return d.select("doc_id", cite.rewrite(F.col("text"), F.col("spans"), _known_numbers(), F.col("markers")).alias("text"))
+
+
+def _documents(paragraphs):
+    """``(doc_id, content)`` of ``(doc_id, texts)``: a Word document of each."""
+    import pyarrow as pa
+
+    from ..sources.docx_write import plain_document
+
+    def run(batches):
+        for batch in batches:
+            made = [plain_document(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
+
+    return paragraphs.select(F.col("doc_id").cast("string").alias("doc_id"), "texts").mapInArrow(run, "doc_id string, content binary")
+
+
+def _bounds_of(rows):
+    return bib.bounds(rows.select("doc_id", F.col("para_idx").alias("line_no"), "text", "prev_is_table", "has_image"), "prev_is_table", "has_image")
+
+
+def _papers_with_citations(spark, sf_dir, listed):
+    """A document for each sentence; a reference list after it where ``listed``."""
+    head, rest = F.array("text"), F.array(*map(F.lit, ("References", "1. Roe A. One.", "2. Doe B. Two.")))
+    return materialize(_documents(_sentences(spark, sf_dir).select("doc_id", F.when(listed, F.concat(head, rest)).otherwise(head).alias("texts"))), "documents")
+
+
+def docx_scan(spark, sf_dir):
+    lines = fx.lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    rows, _ = docx.scan(_documents(lines.select("doc_id", F.transform("l", lambda x: x["text"]).alias("texts"))))
+    return rows.select("doc_id", "para_idx", "text")
+
+
+def docx_rewrite(spark, sf_dir):
+    """Documents read, their markers replaced and lists taken out, and read again."""
+    files = _papers_with_citations(spark, sf_dir, F.lit(True))
+    rows = materialize(docx.scan(files)[0], "paragraphs")
+    bounds = materialize(_bounds_of(rows), "bounds")
+    n = F.explode(_known_numbers()).alias("n")
+    refs = rows.select("doc_id").distinct().select("doc_id", n).select("doc_id", "n", _status(F.col("n")).alias("status"), F.concat(F.lit("K"), F.col("n").cast("string")).alias("key"), _label(F.col("n")).alias("label"), F.lit(None).cast("string").alias("item"))
+    made = materialize(manuscript.edits(manuscript.body(rows, bounds), manuscript.known_references(refs), "scannable"), "edits")
+    again, _ = docx.scan(docx_write.rewritten(files, made, manuscript.removals(bounds, made)).select("doc_id", "content"))
+    return again.groupBy("doc_id").agg(F.min_by("text", "para_idx").alias("text"), F.count("*").cast("int").alias("n_paragraphs"))
+
+
+def count_citations(spark, sf_dir):
+    rows = materialize(docx.scan(_papers_with_citations(spark, sf_dir, F.lit(True)))[0], "paragraphs")
+    return manuscript.count_citations(manuscript.body(rows, _bounds_of(rows)))
+
+
+def safety_stops(spark, sf_dir):
+    rows = materialize(docx.scan(_papers_with_citations(spark, sf_dir, F.col("doc_id") % 4 > 0))[0], "paragraphs")
+    return manuscript.stops(rows, _bounds_of(rows))
+
+
+def field_pieces(spark, sf_dir):
+    """Four numbers in a row: neighbours with items share a field, dropped ones leave nothing."""
+    n = F.col("n")
+    none = F.lit(None).cast("string").alias("item")
+    known = spark.range(1, KNOWN + 1).select(F.lit(0).alias("doc_id"), F.col("id").cast("int").alias("n")).select("doc_id", "n", _status(n).alias("status"), F.concat(F.lit("K"), n.cast("string")).alias("key"), F.concat(F.lit("W"), n.cast("string")).alias("label"), none)
+    numbers = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 30).cast("int").alias("k")).select("doc_id", F.lit(0).alias("one"), F.sequence(F.col("k") + 1, F.col("k") + 4).alias("numbers"))
+    # one row of 40 references
+    joined = numbers.join(F.broadcast(manuscript.known_references(known).withColumnRenamed("doc_id", "one")), "one")
+    pieces = manuscript.field_pieces(F.col("numbers"), F.col("known"), "0", F.col("doc_id").cast("string"))
+    return joined.select("doc_id", F.array_join(F.transform(pieces, lambda p: p["value"]), "|").alias("pieces")).where("pieces <> ''")
+
+
+def citation_json(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+    seventh = (F.col("doc_id") % 7).cast("string")
+    item = lambda key, label, data: F.struct(key.alias("key"), label.alias("label"), data.cast("string").alias("item"))
+    items = F.array(item(F.concat(F.lit("K"), seventh), F.concat(F.lit('R"'), seventh), F.lit('{"id":1}')), item(F.lit("L"), F.lit("é"), F.lit(None)))
+    return o.select("doc_id", manuscript.citation_json(items, "9", (F.col("doc_id") % 1000).cast("string")).alias("json"))
 
 
 def deletion_span(spark, sf_dir):
@@ -397,6 +482,6 @@ QUERIES = {
         page_volume_equal, dedupe_candidates, identifier_join, locator_match, title_match, token_block_topk, fallback_pass, signals, confidence, accept_gate,
         failing_reasons, cascade_status, cascade_layers, status_counts, correction_override, cache_upsert, correction_upsert, library_reuse, create_batches, creators, item_fields, csl_item_json,
         complete_enough, review_apply, report_rows, bracket_citations, bracket_citations_documents, attached_citations, detached_guards, superscript_citations,
-        overlap_resolution, expand_spec, render_scannable, deletion_span,
+        overlap_resolution, expand_spec, render_scannable, deletion_span, docx_scan, docx_rewrite, count_citations, safety_stops, field_pieces, citation_json,
     )
 }
