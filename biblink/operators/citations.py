@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import matches
@@ -148,6 +148,46 @@ def expand(spec: Column, bracketed: Column, known: Column) -> Column:
     return F.when(refused, nobody).otherwise(F.filter(listed, lambda n: F.array_contains(known, n)))
 
 
+def expand_plain(spec: Column, known: Column) -> Column:
+    """Known numbers of a specification without its checks: each range is taken as written."""
+    chunks = F.transform(F.split(F.translate(spec, "–—", "--"), ","), lambda x: F.trim(x))
+    number = lambda s: F.when(s.rlike(r"^\d+$"), s.cast("int"))
+
+    def listed(c):
+        low, high = number(F.split_part(c, F.lit("-"), F.lit(1))), number(F.substr(c, F.length(F.split_part(c, F.lit("-"), F.lit(1))) + 2))
+        several = F.filter(known, lambda k: (k >= low) & (k <= high))
+        return F.when(F.contains(c, F.lit("-")), F.when(low.isNotNull() & high.isNotNull(), F.array_sort(several))).when(number(c).isNotNull(), F.filter(F.array(number(c)), lambda n: F.array_contains(known, n)))
+
+    return F.flatten(F.filter(F.transform(chunks, listed), lambda x: x.isNotNull()))
+
+
+def range_warnings(spec: Column, bracketed: Column, known: Column) -> Column:
+    """What is odd about a specification's wide ranges, in order, up to where it is refused."""
+    chunks = F.transform(F.split(F.translate(spec, "–—", "--"), ","), lambda x: F.trim(x))
+    zero = F.struct(F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, c):
+        first = F.split_part(c, F.lit("-"), F.lit(1))
+        ends = [F.trim(x) for x in (first, F.substr(c, F.length(first) + 2))]
+        ok = F.contains(c, F.lit("-")) & ends[0].rlike(r"^\d+$") & ends[1].rlike(r"^\d+$")
+        low, high = (F.when(ok, e.cast("int")) for e in ends)
+        prose = (low == 0) | (~F.array_contains(known, low) & ~F.array_contains(known, high))
+        wide = ok & ~prose & (high - low > MAX_RANGE)
+        shown, count = F.concat(F.lit("range '"), low.cast("string"), F.lit("-"), high.cast("string")), (high - low + 1).cast("string")
+        taken = F.concat(shown, F.lit("' expands to "), count, F.lit(" references — bracketed, so taken as written; check it is not a typo"))
+        left = F.concat(shown, F.lit("' spans "), count, F.lit(" references — likely a dropped digit in the manuscript; left unchanged"))
+        said = F.when(F.coalesce(wide, F.lit(False)), F.array(F.when(bracketed, taken).otherwise(left))).otherwise(F.array().cast("array<string>"))
+        return F.when(a["over"], a).otherwise(F.struct(F.coalesce(ok & (prose | (wide & ~bracketed)), F.lit(False)).alias("over"), F.concat(a["out"], said).alias("out")))
+
+    return F.aggregate(chunks, zero, step, lambda a: a["out"])
+
+
+def distinct_warnings(said: DataFrame, group: list[str], order: list[str], warnings: str = "warnings") -> DataFrame:
+    """``(group, warnings)``: a document's warnings, each once, by first occurrence."""
+    gathered = said.where(F.size(warnings) > 0).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, warnings))).alias("_w"))
+    return gathered.select(*group, F.array_distinct(F.flatten(F.transform("_w", lambda w: w[warnings]))).alias("warnings"))
+
+
 def deletion_span(text: Column, start: Column, end: Column) -> Column:
     """A span that is deleted takes the space before it along where none is needed."""
     after = _char(text, end)

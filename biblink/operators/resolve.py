@@ -121,13 +121,55 @@ def token_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_ke
     return _first(pairs.groupBy(*ref_keys, cand_key).agg(F.max("idf").alias("idf")), ref_keys, [F.col("idf").desc(), cand_key], k)
 
 
+def query_terms(ref: str = "") -> tuple[Column, Column]:
+    """What is searched for: a title, and an author or else a corporate one; nothing else."""
+    c = lambda name: F.col(ref + name)
+    given = lambda x: F.nullif(x, F.lit(""))
+    return c("title"), F.coalesce(given(F.get(c("authors"), F.lit(0))), given(c("corporate")), F.lit(""))
+
+
+def merged_ids(exact: Column, found: Column, k: int = TOP_K) -> Column:
+    """An exactly matched id and then others that were found, each once, ``k`` at most."""
+    return F.slice(F.array_distinct(F.array_compact(F.concat(F.array(exact), F.coalesce(found, F.array().cast("array<string>"))))), 1, k)
+
+
+def first_passes(rows: DataFrame, ref_keys: list[str], work: str, order: list[str]) -> DataFrame:
+    """Of rows that name one work for a reference, the first by ``order`` (pass, place)."""
+    others = [c for c in rows.columns if c not in (*ref_keys, work)]
+    first = rows.groupBy(*ref_keys, work).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_v"))
+    return first.select(*ref_keys, work, "_v.*")
+
+
+def fan_out(loaders: dict) -> tuple[DataFrame | None, dict[str, str]]:
+    """Candidates of all providers in their order, and why others gave none: a provider whose
+    table can't be read contributes nothing and stops nothing."""
+    rows, failed = None, {}
+    for name, load in loaders.items():
+        try:
+            found = load()
+        except Exception as e:  # whatever a provider does wrong stays its own
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+            continue
+        rows = found if rows is None else rows.unionByName(found)
+    return rows, failed
+
+
+def failed_rows(errors: DataFrame, ref_keys: list[str]) -> DataFrame:
+    """References whose resolution broke, as review rows that say why."""
+    none = F.array().cast("array<string>")
+    reason = F.concat(F.lit("resolution failed: "), F.coalesce("error", F.lit("")))
+    return errors.select(*ref_keys, F.lit("REVIEW").alias("status"), F.lit("none").alias("tier"), F.lit(0.0).alias("confidence"), reason.alias("reason"), F.lit(None).cast("string").alias("candidate"), none.alias("alternatives"), none.alias("notes"))
+
+
 def locator_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:
     """Pairs whose volume and first page the gate calls equal and, within a year, the year."""
     given = match.present(F.col("first_page")) & match.present(F.col("volume"))
     place = [locator_key(F.col("volume")).alias("bv"), locator_key(F.col("first_page")).alias("bf")]
     left = refs.where(given).select(*ref_keys, *place, F.col("year").alias("by"))
-    right = cands.where(given).select(cand_key, *place, F.col("year").alias("cy"))
-    return left.join(right, ["bv", "bf"]).where(F.abs(F.col("by") - F.col("cy")) <= 1).select(*ref_keys, cand_key).distinct()
+    # the year is part of the key: a place that many volumes have isn't one hot key
+    near = F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("by")
+    right = cands.where(given & F.col("year").isNotNull()).select(cand_key, *place, near)
+    return left.join(right, ["bv", "bf", "by"]).select(*ref_keys, cand_key).distinct()
 
 
 def citation_matches(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:

@@ -147,3 +147,33 @@ def candidate_from_text() -> dict[str, Column]:
     kind = F.when(F.col("is_chapter"), "bookSection").when(F.col("is_book"), "book").otherwise("journalArticle")
     same = ("title", "doi", "pmid", "authors", "corporate", "year", "journal", "volume", "issue", "first_page", "last_page", "book_title", "publisher", "place")
     return {**{f: F.col(f) for f in same}, "journal_abbrev": F.col("journal"), "item_type": kind, "provider": F.lit("reference-text"), "providers": F.array(F.lit("reference-text"))}
+
+
+#: A candidate as the cache keeps it.
+STORED = """provider string, title string, doi string, pmid string, authors array<string>, corporate string, year int, journal string, journal_abbrev string, volume string, issue string,
+  first_page string, last_page string, item_type string, book_title string, publisher string, place string, providers array<string>, raw string"""
+_STORED_FIELDS = [f.split()[0] for f in STORED.split(",")]
+
+
+def candidate_to_json(c: str = "") -> Column:
+    """A candidate's fields as JSON, nulls included, its providers sorted."""
+    fields = [F.array_sort(c + f).alias(f) if f == "providers" else F.col(c + f).alias(f) for f in _STORED_FIELDS]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def candidate_from_json(stored: Column) -> Column:
+    """The candidate again, as a struct; without providers its own provider stands for them."""
+    v = F.from_json(stored, STORED)
+    theirs = F.when(F.size(v["providers"]) > 0, v["providers"]).otherwise(F.array(v["provider"]))
+    return F.when(stored.isNotNull(), F.struct(*[(theirs if f == "providers" else v[f]).alias(f) for f in _STORED_FIELDS]))
+
+
+def light_candidate(record: Column, provider: str) -> Column:
+    """The few fields of a record that the predecessor compared: author, year, title, DOI."""
+    w = F.from_json(record, SCHEMAS[provider])
+    if provider == "crossref":
+        lead = _first(w["author"])
+        return F.struct(F.coalesce(empty_to_null(lead["family"]), lead["name"], F.lit("")).alias("author"), _first(_first(w["issued"]["date-parts"])).alias("year"), _blank(_first(w["title"])).alias("title"), w["DOI"].alias("doi"))
+    year = empty_to_null(F.regexp_extract(_blank(w["pubdate"]), r"\b(?:19|20)\d{2}\b", 0)).cast("int")
+    name = F.split_part(_blank(_first(w["authors"])["name"]), F.lit(" "), F.lit(1))
+    return F.struct(name.alias("author"), year.alias("year"), _blank(w["title"]).alias("title"), _first(F.filter(w["articleids"], lambda i: i["idtype"] == "doi"))["value"].alias("doi"))
