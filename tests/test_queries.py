@@ -1,10 +1,10 @@
 import pytest
-from biblink.plans import oracles
-from biblink.plans.queries import QUERIES
+from biblink.plans import more_oracles, more_queries, oracles, queries
 
 from . import oracle
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = queries.QUERIES | more_queries.QUERIES, oracles.SQL | more_oracles.SQL
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +12,12 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_its_sql(spark, con, name):
-    assert oracle.compare(spark, con, QUERIES[name], oracles.SQL[name], SF) is None
+    assert oracle.compare(spark, con, QUERIES[name], SQL[name], SF) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(oracles.SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
