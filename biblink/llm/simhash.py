@@ -42,28 +42,46 @@ LISTS = list(combinations(range(8), LIST_BYTES))
 MIN_MEETINGS = comb(MIN_SHARED_BYTES, LIST_BYTES)
 #: Most fingerprints of a list that are paired.
 LONG_LIST = 64
-_CHUNK = 1 << 16
-
-
-def shingle_hashes(text: bytes | None, n: int = SHINGLE_WORDS) -> np.ndarray:
-    """XXH64 of every word n-gram of a text, repeats included, as unsigned 64-bit integers."""
-    words = (text or b"").translate(LOWER_ASCII).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = zip(*(words[i:] for i in range(n))) if len(words) >= n else [words]
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), np.uint64)
+_CHUNK = 1 << 14
+_BLOCK_BYTES = 1 << 20
+
+
+def _blocks(text: bytes):
+    """Lower-cased words of a text, a bounded number of bytes at a time, cut between words."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + _BLOCK_BYTES)
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield text[at:end].translate(LOWER_ASCII).split()
+        at = end
+
+
+def shingle_hashes(text: bytes | None, n: int = SHINGLE_WORDS):
+    """XXH64 of every word n-gram of a text, repeats included, as arrays of unsigned 64-bit
+    integers; a shorter text is one n-gram, one without words has none."""
+    before: list[bytes] = []
+    some = False
+    for words in _blocks(text or b""):
+        words = before + words
+        if len(words) >= n:
+            some = True
+            grams = zip(*(words[i:] for i in range(n)))
+            yield np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), np.uint64, len(words) - n + 1)
+        before = words[1 - n :]
+    if before and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(before), SEED)], np.uint64)
 
 
 def fingerprint(text: bytes | None) -> int:
     """Unsigned 64-bit SimHash: a bit is 1 if set in over half of the shingle hashes; no words: 0."""
-    hashes = shingle_hashes(text)
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        part = hashes[at : at + _CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text):
+        n += len(hashes)
+        for at in range(0, len(hashes), _CHUNK):
+            part = hashes[at : at + _CHUNK]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +133,9 @@ def _meetings(members: DataFrame, by: list[str]) -> DataFrame:
 def fingerprint_links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """``fps(fp long)``, distinct, to ``(a, b)``: links that connect every two
     fingerprints at ``MAX_BITS`` or fewer differing bits."""
-    members = _with_sizes(_entries(fps), ["list"], "lists")
+    # few bytes, of which much more is made: dealt to all tasks first
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    members = _with_sizes(_entries(spread), ["list"], "lists")
     met = _meetings(members.where(F.col("n") <= long_list), ["list"]).select("a", "b")
 
     # a longer list by each position that it doesn't fix, and the byte there

@@ -1,5 +1,6 @@
 import random
 
+from biblink.llm import simhash
 from biblink.llm.components import connected_components
 from biblink.llm.simhash import LISTS, MIN_MEETINGS, fingerprint, fingerprint_links, keep_one_of_each, masked_links, near_duplicates
 
@@ -34,6 +35,14 @@ def test_fingerprint_counts_repeats():
         assert fingerprint(text.encode()) == brute.simhash(text)
 
 
+def test_fingerprint_of_blocks(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abC \n\t\x1c") for _ in range(n)) for n in (0, 1, 5, 40, 300)] + ["x" * 90, "ab " * 70, " " * 50]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(simhash, "_BLOCK_BYTES", size)
+        assert [fingerprint(t.encode()) for t in texts] == [brute.simhash(t) for t in texts]
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert rows(near_duplicates(docs)) == brute.near_duplicates([(r.doc_id, r.text) for r in docs.collect()])
