@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import matches, scan
-from .common import column, cut, packed, row_key, unpacked
+from .common import column, cut, packed, unpacked
 
 # The base patterns, kinds in their listed order.  The letter
 # classes spell out either case so that only ASCII letters match.
@@ -32,8 +32,6 @@ EXAMPLE_REPOS = 100
 #: A value with fewer distinct characters isn't live-looking.
 MIN_DISTINCT = 10
 
-#: A text without a match of this has no candidate.
-ANY = "|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, OPAQUE))
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
@@ -54,21 +52,23 @@ def _distinct_characters(value: Column) -> Column:
     return F.size(F.array_distinct(F.split(value, "")))
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """``(row, doc_id, key, base, spans)``: spans are all of a row, each with the verdict
-    on its value: ``n_repos``, ``n_owners``, ``example``, ``live``."""
+def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str, *carried: Column) -> tuple[DataFrame, DataFrame]:
+    """``(row, doc_id, base, more, carried)`` of each row and ``(row, spans)`` of those with spans:
+    all of a row, each with the verdict on its value: ``n_repos``, ``n_owners``,
+    ``example``, ``live``.  The texts are scanned once, and what is found is stored."""
     source = docs.select(
+        *carried,
         column(id_col).alias("doc_id"),
-        F.coalesce(column(text_col), F.lit("")).alias("text"),
+        F.coalesce(column(text_col), F.lit("")).alias("scanned"),
         F.coalesce(column(repo_col).cast("string"), F.lit("")).alias("repo"),
         F.coalesce(column(owner_col).cast("string"), F.lit("")).alias("owner"),
     )
-    base, more = candidate_spans(F.col("text"))
+    base, more = candidate_spans(F.col("scanned"))
     hashed = lambda spans: F.transform(
         spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"].cast("binary"), 256).alias("h"), _distinct_characters(s["value"]).alias("distinct"))
     )
     rows = cut(
-        source.select(F.monotonically_increasing_id().alias("row"), "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "repo", "owner", hashed(base).alias("base"), hashed(more).alias("more")),
+        source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", hashed(base).alias("base"), hashed(more).alias("more"), *[c for c in source.columns if c in ("cells", "text")]),
         "spans",
     )
     # a further candidate that overlaps a base span is that span's own value
@@ -86,7 +86,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_co
     # of the further candidates only live-looking ones become spans
     kept = judged.where((F.col("s.kind") < 3) | F.col("s.live"))
     per_row = cut(kept.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans")), "judged")
-    return rows.join(per_row, "row", "left").select("row", "doc_id", "key", "base", "spans")
+    return rows, per_row
 
 
 def _listed(spans: Column) -> Column:
@@ -102,7 +102,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as further owners; other columns are not read; an empty table gives no rows.  ``spans`` lists ``kind:start:end`` in code points,
     ``copies`` the ``n_repos:n_owners`` of each in the same order.
     """
-    found = scanned(docs, id_col, text_col, repo_col, owner_col)
+    rows, per_row = scanned(docs, id_col, text_col, repo_col, owner_col)
+    found = rows.join(per_row, "row", "left").select("doc_id", "base", "spans")
     count = lambda spans, test: F.size(F.filter(spans, test)).cast("long")
     spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
     of_kind = lambda k: count(F.col("base"), lambda s: s["kind"] == k)
@@ -127,10 +128,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     are cleaned alike; an empty table gives no rows.  Only texts that hold a
     candidate are exchanged to meet their spans.
     """
-    found = scanned(docs, id_col, text_col, repo_col, owner_col).where(F.size("spans") > 0)
-    spans = cut(found.dropDuplicates(["key"]).select("key", "spans"), "redactions")
-    whole = docs.select(packed(docs, (text_col,)).alias("row"), column(text_col).alias("text"), row_key(column(id_col), F.coalesce(column(text_col), F.lit(""))).alias("key"))
-    text, has = F.col("text"), F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    rows, spans = scanned(docs, id_col, text_col, repo_col, owner_col, packed(docs, (text_col,)).alias("cells"), column(text_col).alias("text"))
+    text, has = F.col("text"), F.size("base") + F.size("more") > 0
 
     def step(at, s):
         # what overlaps the span before it is part of that one
@@ -141,5 +140,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     changed = F.transform(F.filter(pieces, lambda p: p["tag"].isNotNull()), lambda p: F.concat(F.substr(text, p["from"] + 1, p["n"]), p["tag"]))
     rest = F.substr(text, F.array_max(F.transform("spans", lambda s: s["end"])) + 1)
     cleaned = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(changed, ""), rest)).otherwise(text)
-    marked = whole.where(has).join(spans, "key", "left").select("row", cleaned.alias("text"))
-    return marked.unionByName(whole.where(~has).select("row", "text")).select(*unpacked(docs, F.col("row"), {text_col: F.col("text")}))
+    marked = rows.where(has).join(spans, "row", "left").select("cells", cleaned.alias("text"))
+    return marked.unionByName(rows.where(~has).select("cells", "text")).select(*unpacked(docs, F.col("cells"), {text_col: F.col("text")}))
