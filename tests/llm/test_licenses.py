@@ -1,3 +1,4 @@
+import pytest
 from biblink.llm.licenses import TEMPLATES, license_report, license_scan, similarity, stretches
 
 from . import brute
@@ -58,3 +59,38 @@ def test_several_notices_in_one_text_and_one_gram_of_a_short_one(spark):
     rows = {r.doc_id: r for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [s.start for s in rows[1].spans] == [0, 7, 16] and all(s.similarity == 1 for s in rows[1].spans)
     assert [s.label for s in rows[2].spans] == ["cc-by-4.0"]
+
+
+def common_words(words, template):
+    """Best agreement of any stretch with the template, told plainly."""
+    best = 0.0
+    for s in range(len(words)):
+        if words[s] not in template:
+            continue
+        row = [0] * (len(template) + 1)
+        for e in range(s, min(len(words), s + len(template) * 3 // 2 + 1)):
+            before, row = row, [0]
+            for j, t in enumerate(template):
+                row.append(before[j] + 1 if words[e] == t else max(before[j + 1], row[j]))
+            best = max(best, 2 * row[-1] / (e - s + 1 + len(template)))
+    return best
+
+
+def test_labels_of_the_method_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got, checked = {r.doc_id: r for r in license_scan(docs).collect()}, 0
+    for r in docs.collect():
+        words = brute.WORD.findall(brute.lower(r.text))
+        want = {}
+        for label, text in TEMPLATES:
+            template = brute.WORD.findall(brute.lower(text))
+            # a stretch at 0.8 has two thirds of the template's words
+            if 3 * sum(w in set(words) for w in template) >= 2 * len(template):
+                checked += 1
+                if (score := common_words(words, template)) >= 0.8:
+                    want[label] = max(score, want.get(label, 0.0))
+        # of overlapping spans the most similar stays: the best one always does
+        found = {s.label: s.similarity for s in got[r.doc_id].spans}
+        assert set(found) <= set(want) and bool(found) == bool(want), r.doc_id
+        assert max(found.values(), default=0) == pytest.approx(max(want.values(), default=0)), r.doc_id
+    assert checked

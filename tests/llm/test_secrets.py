@@ -1,3 +1,6 @@
+import re
+from collections import defaultdict
+
 from biblink.llm.secrets import KINDS, redact, secret_scan
 
 from . import brute
@@ -72,3 +75,26 @@ def test_columns_of_any_name_come_back_and_many_spans_are_replaced(spark):
     got = redact(df)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, " ".join(["[SECRET]"] * 700), "s", *names), docs[1], docs[2]], key=str)
+
+
+def test_the_method_s_spans_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    opaque = re.compile("[A-Za-z0-9+/_-]{20,}")
+    found, repos, owners = {}, defaultdict(set), defaultdict(set)
+    for r in rows:
+        text = r.text or ""
+        base = brute.base_secrets(text)
+        more = [(m.start(), 3, m.end(), m[0]) for m in opaque.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        more = [s for s in more if not any(b < s[2] and e > s[0] for b, _, e in base)]
+        values = [(s, k, e, brute.ASSIGN.match(text, s)[2] if k == 0 else text[s:e]) for s, k, e in base] + more
+        found[r.doc_id] = sorted(values)
+        for _, _, _, v in values:
+            repos[v].add(r.doc_id)
+            owners[v].add(r.source)
+    example = {v: len(owners[v]) >= 3 or len(repos[v]) > 100 for v in repos}
+    kept = {i: [s for s in spans if s[1] < 3 or not example[s[3]] and len(set(s[3])) >= 10] for i, spans in found.items()}
+    got = {r.doc_id: r for r in secret_scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    for i, spans in kept.items():
+        assert got[i].spans == ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
+        assert got[i].copies == ",".join(f"{len(repos[v])}:{len(owners[v])}" for _, _, _, v in spans)
+        assert got[i].n_example == sum(example[s[3]] for s in spans)
