@@ -31,16 +31,19 @@ def journal_forms(*names: Column) -> Column:
     return F.filter(F.transform(F.filter(F.array(*shapes), present), journal_tokens), lambda t: F.size(t) > 0)
 
 
-def journal_match(reference: Column, *names: Column) -> Column:
+def journal_alike(ours: Column, forms: Column) -> Column:
     """Each token of one side begins the token in its place of the other, for some form of a name."""
 
-    def alike(ours, theirs):
+    def alike(theirs):
         pairs = F.zip_with(ours, theirs, lambda a, b: F.startswith(a, b) | F.startswith(b, a))
         return (F.size(ours) == F.size(theirs)) & F.forall(pairs, lambda x: x)
 
+    return F.coalesce((F.size(ours) > 0) & F.exists(forms, alike), F.lit(False))
+
+
+def journal_match(reference: Column, *names: Column) -> Column:
     # a list of one, so that the reference's tokens are made once
-    ours = F.filter(F.array(journal_tokens(reference)), lambda t: F.size(t) > 0)
-    return F.coalesce(F.exists(ours, lambda o: F.exists(journal_forms(*names), lambda t: alike(o, t))), F.lit(False))
+    return F.coalesce(F.exists(F.array(journal_tokens(reference)), lambda ours: journal_alike(ours, journal_forms(*names))), F.lit(False))
 
 
 def locator_equal(a: Column, b: Column) -> Column:
@@ -73,17 +76,38 @@ def dedupe_candidates(cands: DataFrame, ref_keys: list[str]) -> DataFrame:
     return merged.select(*ref_keys, "_best.*", "providers", "arrival")
 
 
+def reference_norms(c: str = "") -> dict[str, Column]:
+    """What pairs read many times, normalised once for each reference."""
+    return {"norm": norm_text(F.col(c + "title")), "journal_tokens": journal_tokens(F.col(c + "journal")), "body_norm": norm_text(F.col(c + "corporate")), "body_key": consortium_key(F.col(c + "corporate"))}
+
+
+def candidate_norms(c: str = "") -> dict[str, Column]:
+    """The same of each candidate."""
+    pool = norm_text(F.concat_ws(" ", empty_to_null(F.col(c + "corporate")), empty_to_null(F.col(c + "title"))))
+    return {"norm": norm_text(F.col(c + "title")), "journal_forms": journal_forms(F.col(c + "journal"), F.col(c + "journal_abbrev")), "body_norm": norm_text(F.col(c + "corporate")), "pool_norm": pool}
+
+
+def _with_norms(pairs: DataFrame) -> DataFrame:
+    """Pairs with their norms, made here where they weren't carried along."""
+    ours, theirs = {f"r_{k}": v for k, v in reference_norms("r_").items()}, {f"c_{k}": v for k, v in candidate_norms("c_").items()}
+    missing = {k: v for k, v in (ours | theirs).items() if k not in pairs.columns}
+    return pairs.withColumns(missing) if missing else pairs
+
+
+def _similarity(a: Column, b: Column, undecided: Column) -> Column:
+    """Only undecided pairs carry texts to the Python function."""
+    return normalised_similarity(F.when(undecided, a), F.when(undecided, b))
+
+
 def with_similarity(pairs: DataFrame) -> DataFrame:
-    """Adds the normalised titles and their similarity.  Pairs that need no
-    subsequence (equal, empty, one title's tokens within the other's) skip the
-    Python function: they take another branch of a union."""
-    ready = pairs.withColumns({"r_norm": norm_text(F.col("r_title")), "c_norm": norm_text(F.col("c_title"))})
+    """Adds the similarity of the normalised titles.  Pairs that need no subsequence (equal,
+    empty, one title's tokens within the other's) are decided without it."""
+    ready = _with_norms(pairs)
     a, b = F.array_distinct(F.split("r_norm", " ")), F.array_distinct(F.split("c_norm", " "))
     within = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
-    blank = (F.col("r_norm") == "") | (F.col("c_norm") == "")
-    plain = ready.where(blank | within).withColumn("title_sim", F.when(blank, 0.0).otherwise(1.0))
-    rest = ready.where(~(blank | within)).withColumn("title_sim", normalised_similarity(F.col("r_norm"), F.col("c_norm")))
-    return plain.unionByName(rest)
+    ready = ready.withColumns({"_blank": (F.col("r_norm") == "") | (F.col("c_norm") == ""), "_within": within})
+    sim = F.when(F.col("_blank"), 0.0).when(F.col("_within"), 1.0).otherwise(_similarity(F.col("r_norm"), F.col("c_norm"), ~(F.col("_blank") | F.col("_within"))))
+    return ready.withColumn("title_sim", sim).drop("_blank", "_within")
 
 
 def with_signals(pairs: DataFrame) -> DataFrame:
@@ -93,18 +117,16 @@ def with_signals(pairs: DataFrame) -> DataFrame:
     theirs = F.array_distinct(F.transform("c_authors", F.lower))
     lead = F.lower(F.get("r_authors", F.lit(0)))
     shared = F.size(F.array_intersect(ours, theirs))
-    pool = norm_text(F.concat_ws(" ", empty_to_null(c("c_corporate")), empty_to_null(c("c_title"))))
-    same_body = (normalised_similarity(c("_ours"), c("_theirs")) >= 0.80) | F.contains(c("_pool"), c("_body"))
+    named = (c("r_body_norm") != "") & (c("c_body_norm") != "")
+    same_body = F.coalesce(named & (_similarity(c("r_body_norm"), c("c_body_norm"), named) >= 0.80), F.lit(False)) | F.contains(c("c_pool_norm"), c("r_body_key"))
     years = (F.coalesce(c("r_year"), F.lit(0)) != 0) & (F.coalesce(c("c_year"), F.lit(0)) != 0)
-    # normalised once, in a step of their own: the similarity reads each many times
-    ready = with_similarity(pairs).withColumns({"_ours": norm_text(c("r_corporate")), "_theirs": norm_text(c("c_corporate")), "_pool": pool, "_body": consortium_key(c("r_corporate"))})
-    return ready.withColumns(
+    return with_similarity(pairs).withColumns(
         {
             "year_delta": F.when(years, F.abs(c("r_year") - c("c_year"))),
             "author_overlap": F.when((F.size(ours) > 0) & (F.size(theirs) > 0), shared / F.size(ours).cast("double")).otherwise(0.0),
             "author_ok": F.coalesce((F.size(theirs) > 0) & (lead != "") & F.array_contains(theirs, lead), F.lit(False)),
             "corporate_ok": present(c("r_corporate")) & F.coalesce(same_body, F.lit(False)),
-            "journal_ok": present(c("r_journal")) & journal_match(c("r_journal"), c("c_journal"), c("c_journal_abbrev")),
+            "journal_ok": present(c("r_journal")) & journal_alike(c("r_journal_tokens"), c("c_journal_forms")),
             "volume_ok": locator_equal(c("r_volume"), c("c_volume")),
             "first_page_ok": locator_equal(c("r_first_page"), c("c_first_page")),
             "last_page_ok": locator_equal(c("r_last_page"), c("c_last_page")),
@@ -112,7 +134,7 @@ def with_signals(pairs: DataFrame) -> DataFrame:
             "n_providers": provider_votes(c("c_providers")),
             "ecitmatch": F.array_contains("c_providers", CITATION_MATCH),
         }
-    ).drop("_ours", "_theirs", "_pool", "_body")
+    )
 
 
 def locator_ok() -> Column:

@@ -86,6 +86,10 @@ def _common_blocks(asked: DataFrame, known: DataFrame, cand_key: str, k: int) ->
     return _first(found.groupBy("profile", cand_key).agg(F.max("idf").alias("idf")), ["profile"], best, k).drop("place")
 
 
+def _title_norm(df: DataFrame) -> Column:
+    return F.col("norm") if "norm" in df.columns else norm_text(F.col("title"))
+
+
 def token_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K, max_share: float | None = None) -> DataFrame:
     """``(ref_keys, cand_key, idf, place)``: for each reference the ``k`` candidates that
     share most inverse document frequency with its title, over all tokens.
@@ -94,9 +98,9 @@ def token_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_ke
     of which there are few whatever the size, are looked up by ``_common_blocks``.
     With ``max_share``, tokens of more candidates than that don't count at all.
     """
-    words = F.explode(F.array_distinct(tokens(norm_text(F.col("title"))))).alias("token")
-    left = materialize(refs.select(*ref_keys, words), "ref_tokens")
-    right = materialize(cands.select(cand_key, words).distinct(), "cand_tokens")
+    words = lambda df: F.explode(F.array_distinct(tokens(_title_norm(df)))).alias("token")
+    left = materialize(refs.select(*ref_keys, words(refs)), "ref_tokens")
+    right = materialize(cands.select(cand_key, words(cands)).distinct(), "cand_tokens")
     total = cands.select(cand_key).distinct().count()
     df = materialize(right.groupBy("token").agg(F.count("*").alias("df")).withColumn("w", F.log(F.lit(float(max(1, total))) / F.col("df"))), "df")
     limit = max(1.0, (COMMON_SHARE if max_share is None else max_share) * total)
@@ -190,8 +194,8 @@ def citation_matches(refs: DataFrame, cands: DataFrame, ref_keys: list[str], can
 
 def title_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str) -> DataFrame:
     """Pairs with equal normalised titles."""
-    left = refs.select(*ref_keys, norm_text(F.col("title")).alias("t")).where("t <> ''")
-    right = cands.select(cand_key, norm_text(F.col("title")).alias("t"))
+    left = refs.select(*ref_keys, _title_norm(refs).alias("t")).where("t <> ''")
+    right = cands.select(cand_key, _title_norm(cands).alias("t"))
     return left.join(right, "t").select(*ref_keys, cand_key).distinct()
 
 
@@ -217,8 +221,9 @@ def gather(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str
 
 
 def as_pairs(refs: DataFrame, merged: DataFrame, ref_keys: list[str]) -> DataFrame:
-    left = refs.select(*ref_keys, *[F.col(f).alias(f"r_{f}") for f in REF_FIELDS])
-    right = merged.select(*ref_keys, "arrival", *[F.col(f).alias(f"c_{f}") for f in CANDIDATE_FIELDS])
+    carried = lambda df, fields, norms: [f for f in (*fields, *norms) if f in df.columns]
+    left = refs.select(*ref_keys, *[F.col(f).alias(f"r_{f}") for f in carried(refs, REF_FIELDS, match.reference_norms())])
+    right = merged.select(*ref_keys, "arrival", *[F.col(f).alias(f"c_{f}") for f in carried(merged, CANDIDATE_FIELDS, match.candidate_norms())])
     return left.join(right, ref_keys)
 
 
@@ -276,8 +281,10 @@ def resolve(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: st
     text; review.  Only what the earlier layers leave reaches the fuzzy join.
     ``cited`` asks the citation match as well.  What is accepted needs no reason.
     """
-    keyed = materialize(refs.withColumn("ref_key", ref_key(F.col("raw"))), "refs")
-    cands = materialize(cands, "candidates")
+    # normalised once here: blocks and signals read these, not the raw fields again
+    parsed = materialize(refs, "parsed")
+    keyed = materialize(parsed.withColumns({"ref_key": ref_key(F.col("raw")), **match.reference_norms()}), "refs")
+    cands = materialize(cands.withColumns(match.candidate_norms()), "candidates")
     settled = None
     left = keyed
 
