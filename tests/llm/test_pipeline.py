@@ -50,3 +50,26 @@ def test_stages_against_brute_force(spark):
     assert set(epochs.values()) == {1} and {r.doc_id for r in mixed} <= set(redacted)
     assert all(r.n_tokens == len(brute.BLANK_WORD.findall(redacted[r.doc_id])) for r in mixed)
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, mixed))
+
+
+def test_stages_on_nulls_repeats_clashing_columns_and_empty_tables(spark):
+    small = "/root/testdata/sf0.001"
+    names = ["_stays", "_row", "_redact_key", "key", "row", "spans", "evidence", "c0", "a.b"]
+    plain = spark.read.parquet(f"{small}/documents.parquet").limit(30).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, len(r.text), *names) for r in plain]
+    unlike = " ".join(f"Wort{i}, das{i % 7} hier{i % 11} steht." for i in range(400))
+    rows += [(None, unlike, None, None, None, *names), (None, None, "en", "s", 0, *names), (900, "", "en", None, 0, *names), rows[0], rows[0], (901, "The long road. " * 40_000, "en", "s", 1, *[None] * len(names))]
+    kinds = ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"`{n}` string" for n in names)])
+    docs = spark.createDataFrame(rows, kinds)
+    for given in (docs, docs.limit(0)):
+        left = given
+        for name, stage in corpus_pipeline.STAGES:
+            out = cut(stage(spark, left, small), "odd")
+            if name != "source mixing":
+                assert out.columns == docs.columns and out.count() <= left.count(), name
+            left = out
+        assert given is docs or left.count() == 0
+    single = corpus_pipeline.near_dedup_stage(spark, docs, small).collect()
+    assert sum(r.doc_id == rows[0][0] for r in single) <= 1 and sum(r.text == unlike for r in single) == 1
+    cleaned = corpus_pipeline.secrets_stage(spark, docs, small).collect()
+    assert len(cleaned) == len(rows) and sum(r.text is None for r in cleaned) == 1
