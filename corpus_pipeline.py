@@ -1,5 +1,10 @@
 """A training corpus from raw documents: five stages, each over all that its
-predecessor kept.  Every stage but the last returns the columns of documents."""
+predecessor kept.  Every stage but the last returns the columns of documents.
+
+Any column may be null; further columns, of any names, come back as they were;
+an empty table gives an empty one; rows may repeat.  What a stage does with null
+and empty texts, ties and repeated rows its docstring says.
+"""
 
 from __future__ import annotations
 
@@ -20,27 +25,33 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go: null and empty texts are judged as texts
+    without words, repeated rows alike, and a score at the threshold stays."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that of the smallest id.  Null, empty and
+    blank texts are one group; of rows with equal id and text one stays; rows without
+    an id are told apart by their texts."""
     return keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside benchmark passages go."""
+    """Words inside benchmark passages go; a null text stays null, and every row stays."""
     return _recounted(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a tag."""
+    """Secrets are replaced by a tag; a null text stays null, every row stays, repeated rows are
+    cleaned alike."""
     return _recounted(redact(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The order in which the documents of each source are read, and how often."""
+    """The order in which the documents of each source are read, and how often.  Texts without
+    words are never dealt, a null source is one of its own, repeated rows are dealt
+    one by one."""
     return mix(docs)
 
 
