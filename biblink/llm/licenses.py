@@ -3,12 +3,20 @@
 Every rolling k-gram hash of a document joins the k-gram hashes of the license
 templates.  A match at document word ``i`` and template word ``j`` votes for
 the diagonal ``i - j``; votes are counted per document, template and diagonal,
-neighbouring diagonals (small insertions and deletions) are merged, and each
+diagonals that insertions and deletions can bring together are merged, and each
 merged region is verified word by word against its template.
+
+How far to merge, how many votes to ask and how wide a region is follow from
+the similarity alone (:func:`fewest_votes`, :func:`reach`), so that no stretch of
+that similarity goes unverified.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import as_bytes, column, cut, lower_words, row_key, small_batches
 
-KGRAM, BAND, MIN_SIMILARITY, MIN_VOTES = 3, 3, 0.8, 0.3
+#: Words to a gram: of longer ones a few changes, evenly spread, leave none.
+KGRAM, MIN_SIMILARITY = 2, 0.8
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: Templates are broadcast up to this many k-grams; a larger set is joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
@@ -77,25 +86,59 @@ def base_places(words: list[bytes], phrases=BASE_PHRASES) -> list[tuple[int, str
     return sorted(found)
 
 
-def similarity(words: list[bytes], template: list[bytes]) -> tuple[float, int, int]:
+def similarity(words: list[bytes], template: list[bytes], least: float = 0.0) -> tuple[float, int, int]:
     """Best agreement of a stretch of ``words`` with the template: twice the common
-    subsequence over both lengths, and the stretch ``[start, end)``."""
-    # each cell: length of the common subsequence, and its latest start
-    above = [(0, 0)] * (len(template) + 1)
-    best = (0.0, 0, 0)
-    for i, w in enumerate(words):
-        row = [(0, 0)]
-        for j, t in enumerate(template):
-            if w == t:
-                n, s = above[j]
-                row.append((n + 1, s if n else -i))
-            else:
-                row.append(max(above[j + 1], row[j], key=lambda c: (c[0], -c[1])))
-        n, s = row[-1]
-        if n and w in template:
-            best = max(best, (2 * n / (i + 1 + s + len(template)), s, i + 1), key=lambda b: b[0])
-        above = row
-    return best[0], -best[1], best[2]
+    subsequence over both lengths, and the stretch ``[start, end)``; zeros below ``least``.
+
+    The best ratio p / q is that at which no stretch has a positive balance of ``2 q`` for
+    each common word less ``p`` for each word; each round goes on from a better ratio.
+    """
+    known, ratio, found = set(template), Fraction(least).limit_denominator(1000), (0.0, 0, 0)
+    while True:
+        p, q = ratio.numerator, ratio.denominator
+        # for each beginning of the template: balance and start of the best stretch up to here
+        above, best = [(0, 0)] * (len(template) + 1), (-1, 0, 0)
+        for i, w in enumerate(words):
+            none = (0, i + 1)
+            if w not in known:
+                above = [(v - p, s) if v > p else none for v, s in above]
+                continue
+            row = [none]
+            for j, t in enumerate(template):
+                v, s = above[j + 1]
+                cell = max((v - p, s), row[j])
+                if w == t:
+                    v, s = above[j]
+                    cell = max(cell, (v + 2 * q - p, s))
+                row.append(max(cell, none))
+            above = row
+            if row[-1][0] > best[0]:
+                best = (row[-1][0], row[-1][1], i + 1)
+        balance, s, e = best
+        gained = balance - p * len(template)
+        if gained < 0 or s >= e or (gained == 0 and found[0]):
+            return found
+        ratio = Fraction((balance + p * (e - s)) // q, e - s + len(template))
+        found = (float(ratio), s, e)
+        if gained == 0:
+            return found
+
+
+def fewest_votes(length: int, least: float = MIN_SIMILARITY, k: int = KGRAM) -> int:
+    """Grams that every stretch at a similarity of ``least`` shares with a template of
+    ``length`` words, in order; at least one is asked.
+
+    Of ``total`` words of both, ``least / 2`` are in common, and each of the others breaks
+    at most one run of common words; a run of n words has ``n - k + 1`` grams.  A template
+    of three words or fewer may share none.
+    """
+    total = 2 * length / (2 - least)
+    return max(1, math.ceil(total * (least / 2 - (k - 1) * (1 - least)) - (k - 1) - 1e-9))
+
+
+def reach(length: int, least: float = MIN_SIMILARITY) -> int:
+    """How far apart two diagonals of one such stretch can be: it has no more words of its own."""
+    return int(2 * length * (1 / least - 1) + 1e-9)
 
 
 def stretches(words: list[bytes], low: int, high: int, template: list[bytes]):
@@ -107,17 +150,37 @@ def stretches(words: list[bytes], low: int, high: int, template: list[bytes]):
         yield at, words[at : min(high, at + 2 * step)]
 
 
-def _template_grams(spark, templates, k: int) -> DataFrame:
+def similar_spans(words: list[bytes], template: list[bytes], least: float = MIN_SIMILARITY):
+    """``(similarity, start, end)`` of the most similar stretch, and of those before and after it."""
+    known, parts = set(template), [(0, len(words))]
+    # a stretch has this many of the template's words: S words of both have least * S / 2 in common
+    needed = least * len(template) / (2 - least) - 1e-9
+    while parts:
+        low, high = parts.pop()
+        here = known.intersection(words[low:high])
+        if sum(t in here for t in template) < needed:
+            continue
+        score, s, e = similarity(words[low:high], template, least)
+        if score:
+            yield score, low + s, low + e
+            parts += [(low, low + s), (low + e, high)]
+
+
+def _template_grams(spark, templates, k: int, least: float) -> DataFrame:
     rows = []
     for number, (_, text) in enumerate(templates):
         words = lower_words(text.encode())
-        rows += [(number, at, int(h), len(words)) for at, h in enumerate(gram_hashes(words, k))]
-    grams = spark.createDataFrame(rows, "template int, tpos int, h long, length int")
+        asked = len(words), fewest_votes(len(words), least, k), reach(len(words), least)
+        rows += [(number, at, int(h), *asked) for at, h in enumerate(gram_hashes(words, k))]
+    grams = spark.createDataFrame(rows, "template int, tpos int, h long, length int, enough int, reach int")
     return F.broadcast(grams) if len(rows) <= BROADCAST_GRAMS else grams
 
 
-def voted_regions(rows: DataFrame, templates, k: int, band: int, min_votes: float) -> DataFrame:
-    """``rows(key, text)`` to ``(key, template, from_word, to_word)``: regions of merged diagonals."""
+def voted_regions(rows: DataFrame, templates, k: int, least: float) -> DataFrame:
+    """``rows(key, text)`` to ``(key, template, from_word, to_word)``: regions of merged diagonals.
+
+    Repeated rows vote again, for regions that are verified like any other.
+    """
 
     def grams(batches):
         for batch in batches:
@@ -130,20 +193,18 @@ def voted_regions(rows: DataFrame, templates, k: int, band: int, min_votes: floa
 
     hashed = rows.mapInArrow(grams, "key string, hashes array<long>")
     rolling = hashed.select("key", F.posexplode("hashes").alias("pos", "h"))
+    per_template = ["key", "template", "length", "enough", "reach"]
     votes = (
-        rolling.join(_template_grams(rows.sparkSession, templates, k), "h")
-        .select("key", "template", "length", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .distinct()
-        .groupBy("key", "template", "length", "diagonal")
+        rolling.join(_template_grams(rows.sparkSession, templates, k, least), "h")
+        .groupBy(*per_template, (F.col("pos") - F.col("tpos")).alias("diagonal"))
         .agg(F.count("*").alias("votes"))
     )
     order = W.partitionBy("key", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(0)) > band
-    merged = votes.withColumn("group", F.sum(F.when(apart, 1).otherwise(0)).over(order)).groupBy("key", "template", "length", "group")
-    regions = merged.agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    # the vote is scaled to the template; a short one may be found by one k-gram
-    enough = F.col("votes") >= F.greatest(F.lit(1), F.floor(F.lit(min_votes) * (F.col("length") - (k - 1))))
-    return regions.where(enough).select("key", "template", F.greatest("low", F.lit(0)).alias("from_word"), (F.col("high") + F.col("length") + band).alias("to_word"))
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(0)) > F.col("reach")
+    merged = votes.withColumn("group", F.sum(F.when(apart, 1).otherwise(0)).over(order)).groupBy(*per_template, "group")
+    regions = merged.agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high")).where("votes >= enough")
+    # a stretch begins on a diagonal within reach of a voted one, and ends on another
+    return regions.select("key", "template", F.greatest(F.col("low") - F.col("reach"), F.lit(0)).alias("from_word"), (F.col("high") + F.col("length") + F.col("reach")).alias("to_word"))
 
 
 def license_scan(
@@ -152,9 +213,7 @@ def license_scan(
     text_col: str = "text",
     templates=TEMPLATES,
     k: int = KGRAM,
-    band: int = BAND,
     min_similarity: float = MIN_SIMILARITY,
-    min_votes: float = MIN_VOTES,
 ) -> DataFrame:
     """``(doc_id, n_words, base array<struct<at,label>>, spans array<struct<start,end,label,similarity>>)``.
 
@@ -167,7 +226,7 @@ def license_scan(
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     numbered = docs.select(column(id_col).alias("doc_id"), row_key(column(id_col), column(text_col)).alias("key"), as_bytes(column(text_col)).alias("text"))
-    regions = voted_regions(numbered.select("key", "text"), templates, k, band, min_votes)
+    regions = voted_regions(numbered.select("key", "text"), templates, k, min_similarity)
     per_key = cut(regions.groupBy(F.col("key").alias("voted")).agg(F.collect_list(F.struct("template", "from_word", "to_word")).alias("regions")), "regions")
 
     words_of = [(label, lower_words(text.encode())) for label, text in templates]
@@ -179,14 +238,13 @@ def license_scan(
         for r in found or ():
             label, template = words_of[r["template"]]
             for at, piece in stretches(words, r["from_word"], r["to_word"], template):
-                score, s, e = similarity(piece, template)
-                if score >= min_similarity:
-                    spans.add((-score, at + s, at + e, label))
-        kept = []
+                spans.update((-score, at + s, at + e, label) for score, s, e in similar_spans(piece, template, min_similarity))
+        kept = []  # disjoint, by start
         for score, s, e, label in sorted(spans):
-            if all(e <= a["start"] or s >= a["end"] for a in kept):
-                kept.append({"start": s, "end": e, "label": label, "similarity": -score})
-        return sorted(kept, key=lambda x: x["start"])
+            at = bisect.bisect_left(kept, (s,))
+            if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= e):
+                kept.insert(at, (s, e, label, -score))
+        return [dict(zip(("start", "end", "label", "similarity"), x)) for x in kept]
 
     def read(batches):
         for batch in batches:

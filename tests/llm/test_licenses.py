@@ -1,5 +1,7 @@
+import random
+
 import pytest
-from biblink.llm.licenses import TEMPLATES, license_report, license_scan, similarity, stretches
+from biblink.llm.licenses import TEMPLATES, fewest_votes, license_report, license_scan, reach, similarity, stretches
 
 from . import brute
 
@@ -41,7 +43,17 @@ def test_similarity_finds_the_stretch():
     words = b"a b c under the mit license d".split()
     assert similarity(words, b"under the mit license".split()) == (1.0, 3, 7)
     assert similarity(b"under the new mit license".split(), b"under the mit license".split())[0] == 8 / 9
-    assert similarity([], [b"a"])[0] == 0
+    assert similarity([], [b"a"])[0] == similarity([b"b"], [b"a"])[0] == 0
+    # one word fewer in common is better than eight words more
+    words = b"licensed under x x x x x x x x the mit license".split()
+    assert similarity(words, b"licensed under the mit license".split()) == (0.75, 10, 13)
+    assert similarity(words, b"licensed under the mit license".split(), 0.8) == (0.0, 0, 0)
+    rng = random.Random(5)
+    for _ in range(300):
+        words, template = ([rng.choice("abcde") for _ in range(rng.randrange(1, n))] for n in (14, 7))
+        score, s, e = similarity(words, template)
+        assert score == pytest.approx(common_words(words, template, 9))
+        assert not score or common_words(words[s:e], template, 9) == pytest.approx(score)
 
 
 def test_pieces_of_a_region_hold_every_stretch():
@@ -61,14 +73,14 @@ def test_several_notices_in_one_text_and_one_gram_of_a_short_one(spark):
     assert [s.label for s in rows[2].spans] == ["cc-by-4.0"]
 
 
-def common_words(words, template):
+def common_words(words, template, longest=1.5):
     """Best agreement of any stretch with the template, told plainly."""
     best = 0.0
     for s in range(len(words)):
         if words[s] not in template:
             continue
         row = [0] * (len(template) + 1)
-        for e in range(s, min(len(words), s + len(template) * 3 // 2 + 1)):
+        for e in range(s, min(len(words), s + int(len(template) * longest) + 1)):
             before, row = row, [0]
             for j, t in enumerate(template):
                 row.append(before[j] + 1 if words[e] == t else max(before[j + 1], row[j]))
@@ -94,3 +106,55 @@ def test_labels_of_the_method_against_brute_force(spark, sf_dir):
         assert set(found) <= set(want) and bool(found) == bool(want), r.doc_id
         assert max(found.values(), default=0) == pytest.approx(max(want.values(), default=0)), r.doc_id
     assert checked
+
+
+def edited(words, rng):
+    """Words dropped, put in or replaced, evenly spread."""
+    kind, step, start = rng.choice("drop put replace".split()), rng.choice([2, 3, 4, 5, 7]), rng.randrange(3)
+    out = []
+    for i, w in enumerate(words):
+        hit = i % step == start % step
+        if kind == "put" or not hit:
+            out.append(w)
+        if hit and kind != "drop":
+            out += ["other"] * rng.choice([1, 1, 1, 8])
+    return out
+
+
+def test_no_similar_notice_goes_unverified(spark):
+    rng = random.Random(7)
+    texts = []
+    for label, text in TEMPLATES:
+        plain = brute.WORD.findall(brute.lower(text))
+        texts += [" ".join(["before"] * rng.randrange(4) + edited(plain, rng) + ["after"]) for _ in range(40)]
+        # a holder's name of several words in the middle
+        texts += [" ".join(plain[: len(plain) // 2] + ["name"] * n + plain[len(plain) // 2 :]) for n in (2, 8, 10)]
+        # each third word is missing; each second is followed by another
+        texts += [" ".join(w for i, w in enumerate(plain) if i % 3 != 1), " ".join(w + " x" * (i % 2) for i, w in enumerate(plain))]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        words = brute.WORD.findall(text)
+        best = max(common_words(words, brute.WORD.findall(brute.lower(t))) for _, t in TEMPLATES)
+        best = best if best >= 0.8 - 1e-12 else 0.0
+        assert max((s.similarity for s in got[i].spans), default=0) == pytest.approx(best), text
+        found += best > 0
+    assert 100 < found < len(texts)
+
+
+def test_votes_and_reach_hold_for_every_alignment():
+    rng = random.Random(3)
+    for _ in range(3000):
+        length = rng.randrange(4, 40)
+        # a stretch of common words (None where the template's word is missing) and words of its own
+        path, own, lost = [], 0, 0
+        for j in range(length):
+            lost += (missing := rng.random() < 0.2)
+            path.append(None if missing else j + own)
+            own += rng.random() < 0.3 and j < length - 1
+        common = length - lost
+        if 2 * common / (length + common + own) < 0.8:
+            continue
+        votes = [i - j for j, i in enumerate(path) if i is not None and j + 1 < length and path[j + 1] == i + 1]
+        assert len(votes) >= fewest_votes(length)
+        assert max(votes) - min(votes) <= reach(length)
