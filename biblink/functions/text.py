@@ -48,15 +48,60 @@ def _folding(form: str, keep_marks: bool) -> tuple[str, str, str, dict[str, str]
     return "".join(c for c, _ in single) + "".join(gone), "".join(d for _, d in single), "".join(several), several
 
 
+def _literal_map(table: dict[str, str]) -> Column:
+    """One look-up table for all expressions that share it."""
+    if len(table) < 200:
+        return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x03{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x03"))
+
+
 def _fold(s: Column, form: str, keep_marks: bool) -> Column:
     source, target, many, table = _folding(form, keep_marks)
-    # one look-up table for all expressions of this form, as a literal map
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if len(table) < 200 else F.str_to_map(F.lit("\x02".join(f"{k}\x03{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x03"))
+    pairs = _literal_map(table)
     folded = F.translate(s, source, target)
     spelled = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(pairs, c), c)), "")
     return F.when(F.length(F.translate(folded, many, "")) < F.length(folded), spelled).otherwise(folded)
 
 
+@cache
+def _composing() -> tuple[dict[str, str], dict[str, str]]:
+    """Pairs of a character and a mark with the character they make, and marks' classes."""
+    pairs, classes = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and "<" not in parts[0]:
+            pair = "".join(chr(int(x, 16)) for x in parts)
+            if unicodedata.normalize("NFC", pair) == c:
+                pairs[pair] = c
+        if unicodedata.combining(c):
+            classes[c] = str(unicodedata.combining(c))
+    return pairs, classes
+
+
+def _composed(cluster: Column) -> Column:
+    """A decomposed character with the marks after it, the marks in canonical order, and
+    composed with those that no mark of their class stands before."""
+    pairs, classes = map(_literal_map, _composing())
+    marks = F.transform(F.split(F.substr(cluster, F.lit(2)), ""), lambda c, i: F.struct(F.coalesce(F.element_at(classes, c).cast("int"), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")))
+    # marks of class 0 part the others
+    runs = F.transform(marks, lambda m: F.struct(F.size(F.filter(marks, lambda x: (x["k"] == 0) & (x["i"] <= m["i"]))).alias("run"), m["k"].alias("k"), m["i"].alias("i"), m["c"].alias("c")))
+    ordered = F.array_sort(F.when(F.exists(marks, lambda m: m["k"] == 0), runs).otherwise(F.transform(marks, lambda m: F.struct(F.lit(0).alias("run"), m["k"].alias("k"), m["i"].alias("i"), m["c"].alias("c")))))
+    state = lambda done, base, rest, last: F.struct(done.alias("done"), base.alias("base"), rest.alias("rest"), last.alias("last"))
+
+    def step(at, m):
+        made = F.element_at(pairs, F.concat(at["base"], m["c"]))
+        free = (at["rest"] == "") | (at["last"] < m["k"])
+        return (
+            F.when(free & made.isNotNull(), state(at["done"], made, at["rest"], at["last"]))
+            .when(m["k"] == 0, state(F.concat(at["done"], at["base"], at["rest"]), m["c"], F.lit(""), F.lit(0)))
+            .otherwise(state(at["done"], at["base"], F.concat(at["rest"], m["c"]), m["k"]))
+        )
+
+    first = state(F.lit(""), F.substring(cluster, 1, 1), F.lit(""), F.lit(0))
+    return F.when(F.length(cluster) == 1, cluster).otherwise(F.aggregate(ordered, first, step, lambda at: F.concat(at["done"], at["base"], at["rest"])))
+
+
 def plain_ascii(s: Column) -> Column:
     return ~s.rlike(r"[^\x00-\x7F]")
 
@@ -67,8 +112,10 @@ def strip_accents(s: Column) -> Column:
 
 
 def nfkc(s: Column) -> Column:
-    """Compatibility characters replaced one by one.  Separately typed marks stay as they are."""
-    return F.when(plain_ascii(s), s).otherwise(_fold(s, "NFKC", True))
+    """Compatibility characters replaced, and separately typed marks composed with their letter.
+    Separately typed Hangul letters stay apart."""
+    clusters = F.regexp_extract_all(_fold(s, "NFKD", True), F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    return F.when(plain_ascii(s), s).when(s.rlike(r"\p{M}"), F.array_join(F.transform(clusters, _composed), "")).otherwise(_fold(s, "NFKC", True))
 
 
 def _compatible_letters(s: Column) -> Column:

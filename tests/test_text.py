@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from biblink.functions import similarity as sim
 from biblink.functions import text as tx
@@ -43,6 +44,14 @@ def test_two_decimals_round_on_the_binary_value(spark):
     assert [r.y for r in df.select(tx.fixed2(F.col("x")).alias("y")).collect()] == ["0.12", "2.67", "1234.50", "0.00", "0.95"]
 
 
+def test_nfkc_composes_typed_marks(spark):
+    rng = random.Random(5)
+    letters, marks = "aeEounsﬁ½é ạ.ǖ", "\u0301\u0308\u0323\u0327\u0304\u0302\u20e3"
+    texts = ["Mu\u0308ller J, E\u0301tude", "e\u0323\u0301 \u00e9\u0323", "\u0301x", "\u09c7\u09be \u0995\u09c7\u09be", "a\u0301\u0301", "plain", "", None]
+    texts += ["".join(rng.choice(letters) + "".join(rng.choice(marks) for _ in range(rng.choice([0, 0, 1, 2, 3]))) for _ in range(rng.randrange(12))) for _ in range(300)]
+    assert column(spark, texts, tx.nfkc) == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
 def test_title_case(spark):
     assert column(spark, ["sala-i-martin", "o'brien VAN"], tx.title_case) == ["Sala-I-Martin", "O'Brien Van"]
 
@@ -63,6 +72,17 @@ def test_lcs_against_dynamic_programming():
         assert sim.lcs(a, b) == plain_lcs(a, b)
 
 
+def test_lcs_of_many_pairs_at_once():
+    rng = random.Random(11)
+    wide = "".join(map(chr, range(0x300, 0x900))) + "\U0001f600"
+    for letters, longest, n in (("ab ", 9, 300), ("abcdefghij k", 200, 120), (wide, 130, 60), ("a", 140, 40), ("ab", 3000, 3)):
+        a, b = (["".join(rng.choice(letters + more) for _ in range(rng.randrange(longest))) for _ in range(n)] for more in ("", "zé"))
+        assert list(sim._lcs_together(a, b)) == [sim.lcs(x, y) for x, y in zip(a, b)]
+    got = sim._lcs_column.func(pd.Series(["abc", None, "", "xay"]), pd.Series([None, "b", "x", "a" * 70]))
+    assert got.isna().tolist() == [True, True, False, False] and got[2] == 0 and got[3] == 1
+    assert len(sim._lcs_column.func(pd.Series([], dtype=object), pd.Series([], dtype=object))) == 0
+
+
 @pytest.mark.parametrize("a,b,want", [("", "x", 0.0), ("the same", "Same", 1.0), ("renal disease", "renal disease in adults", 1.0), ("abcdefghij", "abcdefghi", 18 / 19)])
 def test_title_similarity(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a string, b string")
