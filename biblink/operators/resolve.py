@@ -199,6 +199,27 @@ def title_blocks(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_ke
     return left.join(right, "t").select(*ref_keys, cand_key).distinct()
 
 
+def title_searches(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K) -> DataFrame:
+    """Pairs with equal normalised titles as searches give them: of each provider its first ``k``
+    records of that title, and its first ``k`` of that title by the author searched for.
+
+    A title such as "Editorial" has as many records as there are journals; a search for
+    it has ``k`` rows all the same.  Records that a place or a citation match finds are paired
+    elsewhere, whatever their title.
+    """
+    c = F.col
+    titled = cands.select(cand_key, "arrival", _title_norm(cands).alias("t"), c("providers").alias("p"), "authors", "corporate").where("t <> ''")
+    body = F.filter(F.array(F.lower(F.trim("corporate"))), lambda x: x != "")
+    people = F.array_distinct(F.concat(F.coalesce(F.transform("authors", F.lower), F.array().cast("array<string>")), F.coalesce(body, F.array().cast("array<string>"))))
+    # the first k are told within each task before any exchange
+    first = lambda df, by: _first(df, [*by, "p"], ["arrival", cand_key], k).select(cand_key, *by)
+    any_author = first(titled.select(cand_key, "arrival", "t", "p"), ["t"])
+    by_author = first(titled.select(cand_key, "arrival", "t", "p", F.explode(people).alias("who")), ["t", "who"])
+    asked = refs.select(*ref_keys, _title_norm(refs).alias("t"), F.lower(query_terms()[1]).alias("who")).where("t <> ''")
+    found = asked.join(any_author, "t").select(*ref_keys, cand_key)
+    return found.unionByName(asked.where("who <> ''").join(by_author, ["t", "who"]).select(*ref_keys, cand_key)).distinct()
+
+
 def fallback(first: DataFrame, second: DataFrame, refs: DataFrame, ref_keys: list[str]) -> DataFrame:
     """The first pass's pairs, and the second's for references that the first left empty."""
     unmet = refs.select(*ref_keys).join(first.select(*ref_keys).distinct(), ref_keys, "left_anti")
@@ -206,10 +227,10 @@ def fallback(first: DataFrame, second: DataFrame, refs: DataFrame, ref_keys: lis
 
 
 def gather(refs: DataFrame, cands: DataFrame, ref_keys: list[str], cand_key: str, k: int = TOP_K, cited: bool = True) -> DataFrame:
-    """Merged candidates of each reference from the title, locator and token blocks together;
-    with ``cited`` also from the citation match, whose hits bear its tag."""
+    """Merged candidates of each reference from the title searches, the locator and the token
+    blocks together; with ``cited`` also from the citation match, whose hits bear its tag."""
     fuzzy = token_blocks(refs, cands, ref_keys, cand_key, k).select(*ref_keys, cand_key)
-    pairs = title_blocks(refs, cands, ref_keys, cand_key).unionByName(locator_blocks(refs, cands, ref_keys, cand_key)).unionByName(fuzzy).distinct()
+    pairs = title_searches(refs, cands, ref_keys, cand_key, k).unionByName(locator_blocks(refs, cands, ref_keys, cand_key)).unionByName(fuzzy).distinct()
     if cited:
         hits = materialize(citation_matches(refs, cands, ref_keys, cand_key), "cited")
         pairs = pairs.unionByName(hits).distinct().join(hits.withColumn("_cited", F.lit(True)), [*ref_keys, cand_key], "left")
