@@ -100,14 +100,11 @@ def _similarity(a: Column, b: Column, undecided: Column) -> Column:
 
 
 def with_similarity(pairs: DataFrame) -> DataFrame:
-    """Adds the similarity of the normalised titles.  Pairs that need no subsequence (equal,
-    empty, one title's tokens within the other's) are decided without it."""
+    """Adds the similarity of the normalised titles; equal and empty ones are decided without Python."""
     ready = _with_norms(pairs)
-    a, b = F.array_distinct(F.split("r_norm", " ")), F.array_distinct(F.split("c_norm", " "))
-    within = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
-    ready = ready.withColumns({"_blank": (F.col("r_norm") == "") | (F.col("c_norm") == ""), "_within": within})
-    sim = F.when(F.col("_blank"), 0.0).when(F.col("_within"), 1.0).otherwise(_similarity(F.col("r_norm"), F.col("c_norm"), ~(F.col("_blank") | F.col("_within"))))
-    return ready.withColumn("title_sim", sim).drop("_blank", "_within")
+    blank, same = (F.col("r_norm") == "") | (F.col("c_norm") == ""), F.col("r_norm") == F.col("c_norm")
+    sim = F.when(blank, 0.0).when(same, 1.0).otherwise(_similarity(F.col("r_norm"), F.col("c_norm"), ~(blank | same)))
+    return ready.withColumn("title_sim", sim)
 
 
 def with_signals(pairs: DataFrame) -> DataFrame:

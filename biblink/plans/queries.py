@@ -22,7 +22,8 @@ def _docs(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return parse.parse_references(fx.refs(spark, sf_dir))
+    # few bytes, but much to do for each row
+    return parse.parse_references(fx.refs(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
 
 
 def _stored(spark, sf_dir):

@@ -92,3 +92,14 @@ def test_title_similarity(spark, a, b, want):
 def test_ratio_keeps_its_order_of_operations(spark):
     df = spark.createDataFrame([("abc", "abd"), ("", "")], "a string, b string")
     assert [r.r for r in df.select(sim.ratio(F.col("a"), F.col("b")).alias("r")).collect()] == [(1 - 2 / 6) * 100, 100.0]
+
+
+def test_similarities_of_many_pairs_are_the_ratios(spark):
+    rng = random.Random(13)
+    words = "renal disease in adults renal trial of é x2 bolt bolts".split()
+    texts = [(i, *(" ".join(rng.choices(words, k=rng.randrange(7))) for _ in "ab")) for i in range(400)] + [(400, " ", "a"), (401, "a", None), (402, None, None), (403, "a  b", "b a"), (404, " ", "  ")]
+    df = spark.createDataFrame(texts, "i int, a string, b string")
+    a, b = F.col("a"), F.col("b")
+    plain = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(sim.token_set_ratio(a, b), sim.token_sort_ratio(a, b)) / 100.0)
+    rows = df.select(plain.alias("plain"), sim.normalised_similarity(a, b).alias("got"), a.isNull() | b.isNull()).collect()
+    assert all(r[0] == r[1] or (r[2] and r[1] is None) for r in rows) and 0 < sum(0 < (r[1] or 0) < 1 for r in rows)
