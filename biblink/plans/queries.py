@@ -231,7 +231,7 @@ def failing_reasons(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir, **layers):
-    return resolve.resolve(_parsed(spark, sf_dir), _cands(spark, sf_dir), ["n"], "cid", **layers)
+    return resolve.resolve_texts(fx.refs(spark, sf_dir).select("n", "raw"), _cands(spark, sf_dir), ["n"], "cid", **layers)
 
 
 def cascade_status(spark, sf_dir):
